@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters that no lower-casing changes, beside ASCII: where a text has only these, lower() changes A-Z alone.
-_PLAIN = r"[^\x00-\x7F -¿ß-öø-ÿ‐-‧€]"
 #: What separates words of letters and digits, once A-Z are lower case.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,12 +67,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are.
-
-    translate() is exact but slow; where every other character is one that
-    lower() leaves alone, lower() gives the same string faster.
-    """
-    return F.when(text.rlike(_PLAIN), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """A-Z in lower case, all other characters as they are."""
+    return F.translate(text, UPPER, LOWER)
 
 
 def spaced_words(text: Column) -> Column:

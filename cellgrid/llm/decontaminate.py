@@ -23,16 +23,18 @@ WINDOW = 13
 
 
 def store_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Table (rid, id, spaced, n_words): the forward side that postings are laid out from. keep: further columns."""
-    spaced = docs.select(F.col(id_col).alias("id"), spaced_words(F.col(text_col)).alias("spaced"), *(keep or []))
-    sized = spaced.withColumn("n_words", F.when(F.col("spaced") == "", 0).otherwise(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1).cast("long"))
-    return save(sized.withColumn("rid", F.monotonically_increasing_id()), "words")
+    """Table (rid, id, words): the forward side that postings are laid out from. keep: further columns.
+
+    The words are stored as an array, as a split in the plan would be done
+    again for each posting.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), words_of(spaced_words(F.col(text_col))).alias("words"), *(keep or []))
+    return save(rows.withColumn("rid", F.monotonically_increasing_id()), "words")
 
 
 def postings(stored: DataFrame, terms: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
     """Postings (term, rid, pos) and the row's words, for the given terms or for all."""
-    rows = stored.where(F.col("n_words") > 0).select("rid", words_of(F.col("spaced")).alias("words"))
-    out = rows.select("rid", "words", F.posexplode("words").alias("pos", "term"))
+    out = stored.select("rid", "words", F.posexplode("words").alias("pos", "term"))
     return out if terms is None else out.join(small(terms, n_terms), "term")
 
 
@@ -87,7 +89,9 @@ def phrase_matches(stored: DataFrame, items: DataFrame, window: int = WINDOW) ->
     pos = F.col("pos")
     left = F.reverse(F.slice("words", F.greatest(F.lit(1), pos - window + 2), F.least(pos, F.lit(window - 1))))
     right = F.slice("words", pos + 2, F.lit(window - 1))
-    runs = near.select("rid", "item", "pos", "q", "m", _run(left, F.col("before")).alias("l"), _run(right, F.col("after")).alias("r"))
+    # Written out here: the run's lambdas inside the join's condition would keep the join from being compiled.
+    near = save(near.select("rid", "item", "pos", "q", "m", "before", "after", left.alias("left"), right.alias("right")), "near")
+    runs = near.select("rid", "item", "pos", "q", "m", _run(F.col("left"), F.col("before")).alias("l"), _run(F.col("right"), F.col("after")).alias("r"))
     whole = F.when(F.col("m") >= window, F.col("l") + F.col("r") + 1 >= window).otherwise((F.col("l") == F.col("q")) & (F.col("r") == F.col("m") - 1 - F.col("q")))
     return runs.where(whole).select("rid", "item", (pos - F.col("l")).alias("lo"), (pos + F.col("r")).alias("hi"), (F.col("q") - F.col("l")).alias("item_lo"))
 
@@ -126,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
         lambda s: s["n"],
     )
     found = hits.groupBy("rid").agg(merged.alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = stored.select("rid", "id", "n_words", *(keep or [])).join(found, "rid", "left")
+    out = stored.select("rid", "id", F.size("words").cast("long").alias("n_words"), *(keep or [])).join(found, "rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, save, words_of
+from .common import lower_ascii, save, spaced_words, words_of
 
 THRESHOLD = 0.9
 
@@ -47,10 +47,9 @@ TEMPLATES = [
 LINE_GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def store_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Table (rid, id, lined): the words in lower case with blanks between them, lines kept apart."""
-    lined = F.regexp_replace(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), LINE_GAP, " ")
-    return save(docs.select(F.col(id_col).alias("id"), lined.alias("lined")).withColumn("rid", F.monotonically_increasing_id()), "blocks")
+def lined_words(text: Column) -> Column:
+    """The words in lower case with one blank or more between them, lines kept apart."""
+    return F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), LINE_GAP, " ")
 
 
 def phrase_counts(spaced: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
@@ -74,48 +73,69 @@ def phrase_counts(spaced: DataFrame, phrases: dict[str, str] = PHRASES) -> DataF
     })
 
 
-def template_matches(blocks: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(rid, block, template, label, containment) of every block that meets the threshold.
-
-    blocks: rows (rid, block, words array).  The templates are a fixed list, so
-    their token table is broadcast by construction.
-    """
-    spark = blocks.sparkSession
-    rows = [(k, label, sorted(set(text.split()))) for k, (label, text) in enumerate(templates)]
-    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r[2]})], "token string"))
-    tokens = blocks.select(F.explode("words").alias("token"))
-    counted = {r["token"]: r["count"] for r in tokens.join(vocabulary, "token").groupBy("token").count().collect()}  # at most the templates' vocabulary
-    prefix = []
-    for k, label, words in rows:
-        ordered = sorted(words, key=lambda t: (counted.get(t, 0), t))
-        need = math.ceil(threshold * len(ordered) - 1e-9)
-        prefix += [(ordered[i], k, label, len(ordered), need, i, ordered) for i in range(len(ordered) - need + 1)]
-    index = F.broadcast(spark.createDataFrame(prefix, "token string, template int, label string, n int, need int, place int, ordered array<string>"))
-    probes = (
-        blocks.select("rid", "block", "words", F.explode("words").alias("token"))
-        .join(index, "token")
-        .where(F.size("words") >= F.col("need"))
-        .where(F.col("n") - F.col("place") >= F.col("need"))
-    )
-    overlap = F.size(F.array_intersect("ordered", "words"))
-    verified = probes.select("rid", "block", "template", "label", "n", "need", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
-    return verified.select("rid", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Templates:
+    """Templates with their tokens ordered by frequency over all blocks, rarest first, and their prefixes."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
+        self.spark = docs.sparkSession
+        words = [sorted(set(text.split())) for _, text in templates]
+        vocabulary = F.broadcast(self.spark.createDataFrame([(t,) for t in sorted({t for w in words for t in w})], "token string"))
+        tokens = docs.select(F.explode(F.split(spaced_words(F.col(text_col)), " ", -1)).alias("token"))
+        counted = {r["token"]: r["count"] for r in tokens.join(vocabulary, "token").groupBy("token").count().collect()}  # at most the templates' vocabulary
+        self.index = []
+        for k, (label, _) in enumerate(templates):
+            ordered = sorted(words[k], key=lambda t: (counted.get(t, 0), t))
+            need = math.ceil(threshold * len(ordered) - 1e-9)
+            self.index += [(ordered[i], k, label, len(ordered), need, i, ordered) for i in range(len(ordered) - need + 1)]
+
+    def pattern(self) -> str:
+        """Finds a prefix token among words parted by blanks."""
+        return "(?:^|[ \n])(?:" + "|".join(sorted({r[0] for r in self.index})) + ")(?:$|[ \n])"
+
+    def matches(self, blocks: DataFrame) -> DataFrame:
+        """(rid, block, template, label, containment) of every block (rid, block, words array) that meets the threshold.
+
+        The index is made from the fixed list of templates, so its broadcast is bounded.
+        """
+        index = F.broadcast(self.spark.createDataFrame(self.index, "token string, template int, label string, n int, need int, place int, ordered array<string>"))
+        probes = (
+            blocks.select("rid", "block", "words", F.explode("words").alias("token"))
+            .join(index, "token")
+            .where(F.size("words") >= F.col("need"))
+            .where(F.col("n") - F.col("place") >= F.col("need"))
+        )
+        overlap = F.size(F.array_intersect("ordered", "words"))
+        verified = probes.select("rid", "block", "template", "label", "n", "need", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
+        return verified.select("rid", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score, blocks."""
-    stored = store_blocks(docs, id_col, text_col)
-    lines = stored.select("rid", F.posexplode(F.split("lined", "\n", -1)).alias("block", "line"))
-    blocks = lines.select("rid", "block", words_of(F.trim("line")).alias("words"))
+    known = Templates(docs, text_col, templates, threshold)
+    lined = F.col("lined")
+    hold = F.transform(F.split(lined, "\n", -1), lambda line, k: F.struct(k.alias("block"), line.alias("line")))
+    held = F.filter(hold, lambda b: b["line"].rlike(known.pattern()))
+    base = phrase_counts(docs.select(F.col(id_col).alias("id"), lined_words(F.col(text_col)).alias("lined")).withColumn("spaced", F.trim(F.regexp_replace("lined", "[ \n]+", " "))))
+    n_words = F.when(F.col("spaced") == "", 0).otherwise(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1)
+    stored = save(
+        base.select(
+            F.monotonically_increasing_id().alias("rid"), "id", n_words.cast("long").alias("n_words"), "n_base", "first_word", "last_word",
+            F.array_sort(F.array_distinct("base_labels")).alias("base_labels"), F.when(lined.rlike(known.pattern()), held).alias("held"),
+        ),
+        "blocks",
+    )
+    lines = save(
+        stored.where(F.col("held").isNotNull())
+        .select("rid", F.explode("held").alias("held"))
+        .select("rid", "held.block", F.array_distinct(words_of(F.trim(F.regexp_replace("held.line", " +", " ")))).alias("words")),
+        "lines",
+    )
     found = (
-        template_matches(blocks)
+        known.matches(lines)
         .groupBy("rid")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.array_sort(F.collect_set("block")).alias("blocks"))
     )
-    base = phrase_counts(stored.withColumn("spaced", F.trim(F.regexp_replace("lined", "[ \n]+", " "))))
-    n_words = F.when(F.col("spaced") == "", 0).otherwise(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1)
-    base = base.select("rid", "id", n_words.cast("long").alias("n_words"), "n_base", "first_word", "last_word", F.array_sort(F.array_distinct("base_labels")).alias("base_labels"))
-    out = base.join(found, "rid", "left")
+    out = stored.drop("held").join(found, "rid", "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"),
