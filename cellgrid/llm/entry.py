@@ -7,22 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses
+from . import decontaminate, licenses, packing, simhash, token_files
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
     return out.withColumns({c: F.concat_ws(",", c) for c in ("base_labels", "labels")}).withColumn("blocks", F.concat_ws(",", F.transform("blocks", lambda b: b.cast("string"))))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return packing.pack(cut).drop("row").withColumn("length", F.col("length").cast("long"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dup": op2_simhash_near_dup,
+    "op6_token_files": op6_token_files,
     "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op10_decontamination": op10_decontamination,
 }
 

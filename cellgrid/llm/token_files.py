@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import new_path, save
 from .elias_fano import EliasFano
 from .files import create, open_read
-from .tokens import encoder, splits_at_spaces
+from .tokens import encoder
 
 MAGIC = b"CGTOKEN1"
 #: Ids read from a shard at once.
@@ -36,10 +36,9 @@ READ_IDS = 1 << 20
 
 def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards under `out`; returns the manifest (part, path, n_docs, n_ids) as a saved table."""
-    by_word = splits_at_spaces(tokenizer)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, by_word)
+        enc = encoder(tokenizer)
         wide = "<u4" if max(enc.vocabulary, end_id + 1) > 1 << 16 else "<u2"
         ends, ids, nulls, total = [], [], 0, 0
         path = f"{out}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"

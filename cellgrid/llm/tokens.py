@@ -6,68 +6,84 @@ installed there.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-#: White space that the tokenizer's own pattern and str.split() treat alike; texts with other separators go through whole.
+#: Separators that the tokenizer's own pattern and str.split() take differently; texts with one go through whole.
 _UNLIKE = re.compile(r"[\x1c-\x1f\x85]")
-#: Bytes of ids held per worker; beyond it the store of known words starts afresh.  Only speed depends on it.
-KNOWN_WORDS = 300_000
+#: Words in these scripts are lower-cased and cut alike by Python and by the tokenizer; others are encoded by it alone.
+_LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
+#: Words and parts of words whose ids a worker keeps; beyond that a store starts afresh.  Only speed depends on it.
+KNOWN_WORDS, KNOWN_PARTS = 200_000, 800_000
+
+
+class WordRules:
+    """What a tokenizer file says about cutting texts, if it drops all white space and reads nothing across it."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        names = [n["type"] for n in (d.get("normalizer") or {}).get("normalizers") or []]
+        cuts = [s["pattern"].get("Regex", "") for s in steps if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+        plain = any(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps)
+        self.pattern = cuts[0] if len(cuts) == 1 and r"[^\s\p{L}\p{N}]+" in cuts[0] else None
+        self.holds = bool(self.pattern) and plain and len(steps) == 2 and names == ["NFC", "Replace", "Lowercase"] and d.get("post_processor") is None and not d["model"].get("ignore_merges")
 
 
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
-    For a tokenizer that drops white space and never looks across it, a text's
-    ids are those of its words in order, so each distinct word is encoded once.
+    Where the file's rules allow, each distinct part of a word is encoded once.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word, self.known = by_word, {}
+        rules = WordRules(path)
+        self.cut = regex.compile(rules.pattern).findall if rules.holds else None
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        parts = self.parts
+        if len(parts) > KNOWN_PARTS:
+            parts.clear()
+        cuts = {w: self.cut(unicodedata.normalize("NFC", w).lower()) if _LATIN.fullmatch(w) else [w] for w in new}
+        unknown = list({p for c in cuts.values() for p in c if p not in parts})
+        parts.update(zip(unknown, self.whole(unknown)))
+        self.words.update((w, parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])) for w, c in cuts.items())
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _UNLIKE.search(text) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        words, known = text.split(), self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._whole(new)))
-        return b"".join(map(known.__getitem__, words))
+        if not self.cut or _UNLIKE.search(text) or any(s in text for s in self.special):
+            return self.whole([text])[0]
+        words = text.split()
+        try:
+            return b"".join([self.words[w] for w in words])
+        except KeyError:
+            if len(self.words) > KNOWN_WORDS:
+                self.words.clear()
+            self._learn([w for w in set(words) if w not in self.words])
+            return b"".join([self.words[w] for w in words])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path, by_word)
-
-
-def splits_at_spaces(path: str) -> bool:
-    """Whether a tokenizer file's rules drop all white space and read nothing across it, so that words can be encoded alone."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        d = json.load(f)
-    steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    names = [n["type"] for n in (d.get("normalizer") or {}).get("normalizers") or []]
-    removed = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps)
-    plain = any(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps)
-    return removed and plain and set(names) <= {"NFC", "Lowercase", "Replace"} and d.get("post_processor") is None and not d["model"].get("ignore_merges")
+    return Encoder(path)
