@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
+from . import archives, decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
 def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -59,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_from_arc": op1_warc_from_arc,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
