@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
+from . import archives, brown, decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op5_brown_lm": op5_brown_lm,
     "op6_token_files": op6_token_files,
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
