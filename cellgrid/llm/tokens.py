@@ -13,14 +13,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Separators that the tokenizer's own pattern and str.split() take differently; texts with one go through whole.
+#: Separators that the tokenizer's own pattern and Python's take differently; texts with one go through whole.
 _UNLIKE = re.compile(r"[\x1c-\x1f\x85]")
-#: Words in these scripts are lower-cased and cut alike by Python and by the tokenizer; others are encoded by it alone.
-_LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
-#: Words and parts of words whose ids a worker keeps; beyond that a store starts afresh.  Only speed depends on it.
-KNOWN_WORDS, KNOWN_PARTS = 200_000, 800_000
+#: Parts of words whose ids a worker keeps; beyond that the store starts afresh.  Only speed depends on it.
+KNOWN_PARTS = 300_000
 
 
 class WordRules:
@@ -36,11 +33,26 @@ class WordRules:
         self.pattern = cuts[0] if len(cuts) == 1 and r"[^\s\p{L}\p{N}]+" in cuts[0] else None
         self.holds = bool(self.pattern) and plain and len(steps) == 2 and names == ["NFC", "Replace", "Lowercase"] and d.get("post_processor") is None and not d["model"].get("ignore_merges")
 
+    def latin_pattern(self) -> re.Pattern:
+        """The pattern for texts of Latin-1 in lower case, with its letter and number classes spelt out."""
+        kind = lambda k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k)
+        return re.compile(self.pattern.replace(r"\p{L}", kind("L")).replace(r"\p{N}", kind("N")))
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1: none of these changes under NFC or depends on others when lower-cased."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
-    Where the file's rules allow, each distinct part of a word is encoded once.
+    Where the file's rules and the text allow, each distinct part that the
+    tokenizer's own pattern cuts is encoded once.
     """
 
     def __init__(self, path: str):
@@ -49,8 +61,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         rules = WordRules(path)
-        self.cut = regex.compile(rules.pattern).findall if rules.holds else None
-        self.words: dict[str, bytes] = {}
+        self.cut = rules.latin_pattern().findall if rules.holds else None
         self.parts: dict[str, bytes] = {}
 
     @property
@@ -60,26 +71,18 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        parts = self.parts
-        if len(parts) > KNOWN_PARTS:
-            parts.clear()
-        cuts = {w: self.cut(unicodedata.normalize("NFC", w).lower()) if _LATIN.fullmatch(w) else [w] for w in new}
-        unknown = list({p for c in cuts.values() for p in c if p not in parts})
-        parts.update(zip(unknown, self.whole(unknown)))
-        self.words.update((w, parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])) for w, c in cuts.items())
-
     def encode(self, text: str) -> bytes:
-        if not self.cut or _UNLIKE.search(text) or any(s in text for s in self.special):
+        if not self.cut or _UNLIKE.search(text) or not is_latin(text) or any(s in text for s in self.special):
             return self.whole([text])[0]
-        words = text.split()
+        parts = self.cut(text.lower())
         try:
-            return b"".join([self.words[w] for w in words])
+            return b"".join(map(self.parts.__getitem__, parts))
         except KeyError:
-            if len(self.words) > KNOWN_WORDS:
-                self.words.clear()
-            self._learn([w for w in set(words) if w not in self.words])
-            return b"".join([self.words[w] for w in words])
+            if len(self.parts) > KNOWN_PARTS:
+                self.parts.clear()
+            new = list({p for p in parts if p not in self.parts})
+            self.parts.update(zip(new, self.whole(new)))
+            return b"".join(map(self.parts.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
