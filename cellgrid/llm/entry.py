@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, brown, decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
@@ -53,12 +53,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).drop("row").withColumn("length", F.col("length").cast("long"))
 
 
+#: Documents of this score and more count as toxic.
+TOXIC_FROM = 0.3
+
+
+def toxic_held_out() -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    held = toxic_held_out()
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

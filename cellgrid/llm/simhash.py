@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small
 from .components import components
 
 #: Bits of the three segments, low ones first.
@@ -89,6 +89,14 @@ def golay_indices(words: np.ndarray) -> list[list[int]]:
     return [sorted(set(row)) for row in near.tolist()]
 
 
+def word_set_hashes(text: bytes, seed: int) -> np.ndarray:
+    """XXH64 of each distinct word."""
+    from xxhash import xxh64_intdigest
+
+    words = set(text.lower().split())
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), "<u8", len(words))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) with the fingerprint as a signed 64-bit integer; saved."""
 
@@ -102,12 +110,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """(key, fp): three times one to six keys for each fp."""
+    """(key, v, fp): three times one to six keys for each fp; keys of different v differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
-                fp = batch.column(0).to_numpy()[at : at + 4096]
+                v, fp = batch.column(0).to_numpy()[at : at + 4096], batch.column(1).to_numpy()[at : at + 4096]
                 u = fp.view(np.uint64)
                 cut, low = [], 0
                 for n in SEGMENTS:
@@ -115,30 +123,30 @@ def keys(nodes: DataFrame) -> DataFrame:
                     low += n
                 out, who = [], []
                 for k in range(3):
-                    same = cut[k] | k << 22
+                    same = cut[k] | k << 22 | v.astype(np.int64) << 24
                     for i, near in enumerate(golay_indices(cut[(k + 1) % 3])):
                         out += [int(same[i]) << 12 | x for x in near]
                         who += [i] * len(near)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(fp[who])], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(v[who]), pa.array(fp[who])], names=["key", "v", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+    return nodes.select("v", "fp").mapInArrow(run, "key long, v int, fp long")
 
 
 def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that give the components of all pairs within two bits."""
+    """Edges (v, a, b) between distinct fingerprints (v, fp) of one kind v that give the components of all pairs within two bits."""
     if bits > 2:
         raise ValueError("the keys find differences of up to two bits")
     keyed = save(keys(nodes), "keys")
     size = save(keyed.groupBy("key").count().where("count > 1"), "sizes")
-    pairs_of = keyed.join(size.where(F.col("count") <= PAIRS_UP_TO), "key").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    each = pairs_of.select("fps", F.posexplode("fps").alias("i", "a"))
-    pairs = each.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("b"))
+    lists = keyed.join(size.where(F.col("count") <= PAIRS_UP_TO), "key").groupBy("key", "v").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    each = lists.select("v", "fps", F.posexplode("fps").alias("i", "a"))
+    pairs = each.select("v", "a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    hot = keyed.join(size.where(F.col("count") > PAIRS_UP_TO), "key").select("fp").distinct()
+    hot = keyed.join(size.where(F.col("count") > PAIRS_UP_TO), "key").select("v", "fp").distinct()
     masks = [0, *((1 << i) - (1 << 64) * (i == 63) for i in range(64))]
-    around = save(hot.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("word")), "around")
-    least = around.groupBy("word").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = around.join(least, "word").select(F.col("fp").alias("a"), F.col("least").alias("b")).where("a <> b")
+    around = save(hot.select("v", "fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("word")), "around")
+    least = around.groupBy("v", "word").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = around.join(least, ["v", "word"]).select("v", F.col("fp").alias("a"), F.col("least").alias("b")).where("a <> b")
     if bits < 2:
         stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     return pairs.union(stars).distinct()
@@ -147,9 +155,59 @@ def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fp, component (smallest id that links reach, its own included)."""
     prints = fingerprints(docs, shingle, id_col, text_col)
-    nodes = save(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
-    parts = components(links(nodes, bits))
+    nodes = save(prints.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("v", F.lit(0)), "nodes")
+    parts = components(links(nodes, bits).select("a", "b"))
     rooted = save(nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component"))
     known = save(rooted.join(least, "root").select("fp", "component"), "known")
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+#: Fingerprints of the distinct words that near_copies() takes beside that of the shingles, and the words that they need.
+WORD_SETS, SET_WORDS = 4, 20
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less all but the first, by id, of each group of near copies; saved on the way.
+
+    Texts are linked if their fingerprints of five-word shingles are within
+    two bits, or any of WORD_SETS fingerprints of their distinct words, each by
+    another seed.  A changed word changes five shingles but one word, so the
+    latter find copies whose shingles are alike to 0.8 and more, which move
+    more bits of the shingles' fingerprint than the keys can bridge.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kinds, fps = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+                text = text.as_py() or b""
+                found = [majority(shingle_hashes(text, shingle))]
+                for seed in range(1, WORD_SETS + 1):
+                    h = word_set_hashes(text, seed)
+                    if len(h) < SET_WORDS:
+                        break
+                    found.append(majority(h))
+                rows += [row] * len(found)
+                kinds += range(len(found))
+                fps += found
+            i = {r: k for k, r in enumerate(batch.column(0).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(1).take(pa.array([i[r] for r in rows], pa.int64())), pa.array(kinds, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["row", "id", "v", "fp"])
+
+    kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = kept.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    prints = save(rows.mapInArrow(run, f"row long, id {docs.schema[id_col].dataType.simpleString()}, v int, fp long"), "prints")
+    nodes = save(prints.select("v", "fp").distinct(), "nodes")
+    # Nodes of the graph are shingle fingerprints; other kinds are told apart by a hash.
+    node = lambda fp: F.when(F.col("v") == 0, F.col(fp)).otherwise(F.xxhash64("v", fp))
+    linked = save(links(nodes, bits).select(node("a").alias("a"), node("b").alias("b")), "links")
+    own = prints.where("v = 0").select("row", F.col("fp").alias("a"))
+    others = prints.where("v > 0").select("row", node("fp").alias("b"))
+    ties = save(own.join(others, "row").select("a", "b").distinct(), "ties")
+    useful = linked.select(F.explode(F.array("a", "b")).alias("b")).union(ties.groupBy("b").count().where("count > 1").select("b")).distinct()
+    parts = components(linked.union(ties.join(useful, "b", "left_semi").select("a", "b")))
+    firsts = prints.where("v = 0").join(parts, F.col("fp") == F.col("node"), "left").select("row", "id", F.coalesce("root", "fp").alias("root"))
+    grouped = save(firsts, "grouped")
+    best = save(grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"), "best")
+    gone = save(grouped.join(best, "root").where(F.col("row") != F.col("best.row")).select(F.col("row").alias("_row")), "gone")
+    return kept.join(small(gone, gone.count()), "_row", "left_anti").drop("_row")
