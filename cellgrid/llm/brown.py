@@ -161,9 +161,9 @@ def encode(docs: DataFrame, shards: Shards, seed: int, tokens: int, ends: int) -
     """Rows (id, held_out, text) as (id, held_out, n_tokens, n_known, base_score, ids), saved. tokens: N, ends: training rows."""
     distinct = int(shards.base[-1]) + (ends > 0)
     bottom = np.log10(tokens + distinct + 1)
-    schema = pa.schema([("id", docs.schema["id"].dataType.simpleString().replace("bigint", "int64")), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("ids", pa.binary())])
 
-    def block(ids: list, held: list, lists: list[list[bytes]]) -> pa.RecordBatch:
+    def block(kind: pa.DataType, ids: list, held: list, lists: list[list[bytes]]) -> pa.RecordBatch:
+        schema = pa.schema([("id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("ids", pa.binary())])
         place: dict[bytes, int] = {}
         for ws in lists:
             for w in ws:
@@ -190,10 +190,10 @@ def encode(docs: DataFrame, shards: Shards, seed: int, tokens: int, ends: int) -
                 ids.append(i), held.append(hold), lists.append(words_of(text.as_py()))
                 size += len(lists[-1])
                 if size > BLOCK_TOKENS:
-                    yield block(ids, held, lists)
+                    yield block(batch.schema.field(0).type, ids, held, lists)
                     ids, held, lists, size = [], [], [], 0
             if ids:
-                yield block(ids, held, lists)
+                yield block(batch.schema.field(0).type, ids, held, lists)
 
     return save(docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary"), "tokens")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, brown, decontaminate, licenses, lines, packing, quality, simhash, token_files, toxicity
+from . import archives, brown, decontaminate, licenses, lines, oracle, packing, quality, simhash, token_files, toxicity
 from .common import table
 
 
@@ -88,7 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_from_arc": oracle.OP1,
+    "op7_license_scan": oracle.OP7,
+    "op10_decontamination": oracle.OP10,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

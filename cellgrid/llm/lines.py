@@ -109,40 +109,50 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", longer.alias("longer"), shorter.alias("shorter"), most.alias("most")).where(F.col("shorter") >= F.col("longer") - F.col("most"))
-    # levenshtein() takes a constant as its bound, which saves work: the least of these steps that does.
-    bound = F.lit(None).cast("boolean")
-    for step in (4000, 1000, 300, 100, 30, 10):
-        bound = F.when(F.col("most") <= step, F.expr(f"levenshtein(x, y, {step}) between 0 and most")).otherwise(bound)
+    # A bound from words set side by side settles most pairs: the distance is at most the length of what differs.
+    size = lambda w: F.coalesce(F.length(w), F.lit(0))
+    beside = F.zip_with(F.split("x", " ", -1), F.split("y", " ", -1), lambda v, w: F.when(v == w, 0).otherwise(F.greatest(size(v), size(w))))
+    beside = F.aggregate(beside, F.lit(0), lambda s, d: s + F.coalesce(d, F.lit(0))) + F.abs(F.size(F.split("x", " ", -1)) - F.size(F.split("y", " ", -1)))
+    # levenshtein() takes a constant as its bound, which saves work: small steps first, as most distances are small.
+    near = F.lit(False)
+    for step, before in reversed(list(zip((10, 30, 100, 300, 1000, 4000), (0, 10, 30, 100, 300, 1000)))):
+        tried = F.expr(f"levenshtein(x, y, {step})")
+        near = F.when(F.col("most") <= before, F.lit(False)).when((tried >= 0) & (tried <= F.col("most")), F.lit(True)).otherwise(near)
+    near = F.when(beside <= F.col("most"), F.lit(True)).otherwise(near)
     starts = F.sequence(F.lit(0), F.col("longer") - 1, F.lit(PIECE))
     apart = F.aggregate(starts, F.lit(0), lambda s, i: s + F.levenshtein(F.substring(F.col("x"), i + 1, F.lit(PIECE)), F.substring(F.col("y"), i + 1, F.lit(PIECE))))
-    short = both.where(F.col("longer") <= LONG).where(bound).select("a", "b")
+    short = both.where(F.col("longer") <= LONG).where(near).select("a", "b")
     return save(short.union(both.where(F.col("longer") > LONG).where(apart <= F.col("most")).select("a", "b")), "verified")
 
 
-def links(lines: DataFrame, prints: DataFrame) -> DataFrame:
-    """Verified edges (a, b) with the components of all pairs within BITS bits and of enough similarity."""
+def links(lines: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified edges (a, b) with the components of all pairs within BITS bits and of enough similarity, and these as (node, root)."""
     keyed = _keys(prints)
     sizes = save(keyed.groupBy("key").count().where("count > 1"), "sizes")
     shared = save(keyed.join(_narrow(sizes), "key"), "shared")
     lists = shared.where(F.col("count") <= PAIRS_UP_TO).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("all"))
     one = lists.select("all", F.posexplode("all").alias("i", "p"))
     pairs = one.select(F.col("p.node").alias("a"), F.col("p.fp").alias("fa"), F.explode(F.slice("all", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("q"))
-    edges = verify(_near(pairs.select("a", "fa", F.col("q.node").alias("b"), F.col("q.fp").alias("fb"))), lines)
+    few = _near(pairs.select("a", "fa", F.col("q.node").alias("b"), F.col("q.fp").alias("fb")))
     hot = save(shared.where(F.col("count") > PAIRS_UP_TO).select("key", "node", "fp"), "hot")
     n_hot = hot.count()
     if not n_hot:
-        return edges
-    left, turn = None, 0
+        edges = verify(few, lines)
+        return edges, components(edges)
+    edges, left, turn = None, None, 0
     while True:
         first = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
         leaders = hot.withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
         pairs = hot.select("key", F.col("node").alias("a"), F.col("fp").alias("fa")).join(save(leaders, "leaders"), "key").where("a <> b")
-        edges = save(edges.union(verify(_near(pairs), lines)), "edges")
+        pairs = _near(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = save(edges.union(verify(pairs, lines)), "edges") if edges else verify(few.union(pairs), lines)
         parts = components(edges)
         labelled = save(hot.join(parts, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("label")), "labelled")
         groups = save(labelled.groupBy("key", "label").count(), "groups")
         totals = groups.groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
         apart = groups.join(totals, "key").agg(F.sum(F.col("count") * (F.col("n") - F.col("count")))).first()[0] or 0
+        if not apart:
+            return edges, parts
         if apart <= LEFT_OVER * n_hot or left is not None and apart * 2 > left:
             break
         left, turn = apart, turn + 1
@@ -150,13 +160,17 @@ def links(lines: DataFrame, prints: DataFrame) -> DataFrame:
     largest = save(totals.select("key", F.col("most.label").alias("largest")), "largest")
     rest = save(labelled.join(largest, "key").where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("label").alias("lb")), "rest")
     pairs = labelled.select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("label").alias("la")).join(rest, "key").where("la <> lb")
-    return edges.union(verify(_near(pairs), lines))
+    more = verify(_near(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines)
+    if more.isEmpty():
+        return edges, parts
+    edges = edges.union(more)
+    return edges, components(edges)
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, id, removed): the numbers of the lines that go from each document that loses any, saved."""
     lines = distinct_lines(docs, id_col, text_col)
-    parts = components(links(lines, fingerprints(lines)))
+    _, parts = links(lines, fingerprints(lines))
     grouped = lines.select("node", "key", "n").join(parts, "node", "left")
     known = save(grouped.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("key", F.coalesce("root", "node").alias("root")), "groups")
     found = _rows(docs, id_col, text_col).select("id", "rid", "line", F.unhex(F.md5("raw")).alias("key"))
@@ -168,7 +182,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with duplicate lines taken out of the text, and the added columns n_lines, n_removed (of the text before)."""
+    """docs with duplicate lines taken out of the text, and the columns n_lines, n_removed (of the text before) in place of any so named."""
+    docs = docs.drop("n_lines", "n_removed")
     gone = duplicates(docs, id_col, text_col).withColumnsRenamed({"rid": "_rid", "id": "_id", "removed": "_removed"})
     size = gone.agg(F.sum(F.size("_removed") + 8)).first()[0] or 0
     gone = F.broadcast(gone) if size <= 4 * NARROW_ROWS else gone

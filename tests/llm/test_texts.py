@@ -1,0 +1,167 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cellgrid.llm import brown, decontaminate, licenses, toxicity
+from cellgrid.llm.common import table
+from cellgrid.llm.entry import QUERIES, tokenizer_path
+from cellgrid.llm.tokens import Encoder
+
+from . import brute
+
+
+def rows_of(spark, data, name, *cols):
+    return [tuple(r) for r in table(spark, data, name).select(*cols).collect()]
+
+
+# Decontamination
+
+
+def test_contamination_equals_brute_force(spark, data):
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["op10_decontamination"](spark, data).collect()}
+    assert got == brute.contamination(rows_of(spark, data, "documents", "doc_id", "text"), rows_of(spark, data, "benchmark", "item_id", "text"))
+
+
+def test_contamination_cases(spark, docs):
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4, n))
+    items = [(0, word(20)), (1, word(13)), (2, word(3)), (3, word(1)), (4, None), (5, "!!"), (None, word(5)), (6, "É é"), (6, "É é"), (7, "Only Here once")]
+    found = [word(40), items[0][1] + " x " + items[0][1], "a " + items[1][1].upper() + " b", "é é", "É é", None, "", word(400), "here once only here once"]
+    found += [word(30) for _ in range(10)]
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, rid int")
+    d = docs(found)
+    got = {r["doc_id"]: r for r in decontaminate.contamination(d, bench, keep=["lang"]).collect()}
+    want = brute.contamination(enumerate(found), items)
+    for k, w in want.items():
+        assert (got[k]["n_words"], got[k]["n_hit"], len(got[k]["items"]), got[k]["contaminated"]) == (*w[:3], w[4])
+    twice = decontaminate.contamination(d.union(d), bench).collect()
+    assert len(twice) == 2 * len(found) and all(r["n_hit"] == want[r["doc_id"]][1] for r in twice)
+    assert decontaminate.contamination(docs([]), bench).count() == 0
+    assert {r["n_hit"] for r in decontaminate.contamination(d, bench.where("false")).collect()} == {0}
+
+
+def test_proximity(spark, docs):
+    stored = decontaminate.store_words(docs(["a x b y c", "c b a", "a x x x b c", "a b"]))
+    got = {(r["id"], r["lo"], r["hi"]) for r in decontaminate.proximity_matches(stored, ["a", "b", "c"], 5).join(stored, "rid").collect()}
+    assert got == {(0, 0, 4), (1, 0, 2)}
+
+
+# Licenses
+
+
+def test_licenses(spark, docs):
+    found = [
+        "Released under the MIT License.", "under the MIT license under the mit license\nApache License, Version\n2 cc-by-nc", None, "", "nothing here",
+        "All rights reserved.", "x\nThis work is licensed under the GNU General Public License, version 3.", "RESERVED all; rights", "under the", "cc by nc " * 3,
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(found)).collect()}
+    assert [got[i]["labels"] for i in range(10)] == [["mit"], ["apache-2", "cc-by-nc", "mit"], [], [], [], ["all-rights-reserved"], ["gpl-3"], ["all-rights-reserved"], [], ["cc-by-nc"]]
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["n_words"]) == (4, 0, 12, 15)
+    assert (got[9]["n_base"], got[9]["first_word"], got[9]["last_word"]) == (3, 0, 6)
+    assert got[6]["blocks"] == [1] and got[2]["score"] == 0.0 and got[2]["first_word"] is None
+    assert licenses.scan(docs([])).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["all", "rights", "reserved", "x", "y", "license", "mit"]), max_size=8), min_size=1, max_size=6))
+def test_containment_is_exact(spark, blocks):
+    d = spark.createDataFrame([(0, "\n".join(" ".join(b) for b in blocks))], "doc_id long, text string")
+    templates = [("t", "all rights reserved x y"), ("u", "mit license")]
+    r = licenses.scan(d, templates=templates, threshold=0.6).first()
+    over = lambda t, b: len(set(t.split()) & set(b)) / len(set(t.split()))
+    assert r["blocks"] == [i for i, b in enumerate(blocks) if any(over(t, b) >= 0.6 for _, t in templates)]
+
+
+# Language model
+
+
+def test_language_model(spark, data):
+    docs = rows_of(spark, data, "documents", "doc_id", "text")
+    want, rows = brute.unigram(docs), QUERIES["op5_brown_lm"](spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        w = want[r["doc_id"]]
+        assert tuple(r)[1:5] == w[:4] and abs(r["base_score"] - w[4]) < 1e-6 * abs(w[4])
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_language_model_cases(spark, docs):
+    d = docs([None, "", "a b A", "a b", "c c"], ids=[0, 1, 2, 3, None])
+    want = brute.unigram([(0, None), (1, ""), (2, "a b A"), (3, "a b"), (None, "c c")])
+    got = {r["doc_id"]: r for r in brown.score(d).collect()}
+    assert all(tuple(got[k])[1:4] == w[:3] for k, w in want.items() if k is not None) and not got[None]["held_out"]
+    assert brown.score(docs([])).count() == 0
+    from pyspark.sql import functions as F
+
+    assert all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in brown.score(d, held=F.lit(True)).collect())
+
+
+def test_shards_one_at_a_time(spark, docs, monkeypatch):
+    d = docs([" ".join(f"w{(i * k) % 50}" for i in range(60)) for k in range(1, 9)])
+    whole = sorted(map(tuple, brown.score(d).collect()))
+    monkeypatch.setattr(brown, "BLOCK_TOKENS", 50)
+    assert np.allclose([r[6] for r in sorted(map(tuple, brown.score(d).collect()))], [r[6] for r in whole])
+
+
+def test_exchange_finds_planted_classes():
+    rng = np.random.default_rng(8)
+    of = np.arange(40) % 4
+    flow = np.array([[0, 9, 1, 0], [0, 0, 9, 1], [1, 0, 0, 9], [9, 1, 0, 0]])
+    bigrams = rng.poisson(flow[np.ix_(of, of)] * 3.0).astype(float)
+    got = brown.exchange(bigrams, classes=4, sweeps=20)
+    assert all(len(set(got[of == c])) == 1 for c in range(4)) and len(set(got)) == 4
+
+
+# Toxicity
+
+
+def test_grammar_marks_patterns():
+    m = toxicity.Model({"idiot": 2.0}, {"vequ": 1.0})
+    f = lambda t: dict(zip(toxicity.FEATURES, np.expm1(m.features(t)[:5]).round(6)))
+    assert f("an idiot")["plain"] == 2 and f("you idiot")["targeted"] == 2 and f("not an idiot")["negated"] == 2
+    assert f("he said idiot")["reported"] == 2 and f("I will kill you")["threat"] == 1
+    assert f("not x y z an idiot")["plain"] == 2 and f("you. idiot")["plain"] == 2 and f("vequable")["plain"] == 1
+    assert sum(f(None).values()) == sum(f("").values()) == 0
+
+
+def test_toxicity_learns(spark, docs):
+    rng = np.random.default_rng(9)
+    texts, marks = [], []
+    for i in range(400):
+        w = ["w" + f"{x:03d}".translate(str.maketrans("0123456789", "bcdfgklmnp")) for x in rng.integers(0, 300, 40)]
+        if i % 5 == 0:
+            w[7], w[21] = rng.choice(["grblx", "snorq", "zzorb"], 2)
+        texts.append(" ".join(w))
+        marks.append(int(i % 5 == 0))
+    labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks[:300])] + [(0, 0, 1), (None, 1, 1), (1, None, 1)], "doc_id long, toxic int, text int")
+    d = docs([*texts, None, ""])
+    model = toxicity.learn(d, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert all((got[i] >= 0.3) == bool(marks[i]) for i in range(300, 400)) and got[400] == got[401] < 0.3
+    assert toxicity.learn(d, labels.where("false")).score(np.zeros((1, 7)))[0] == 0.05
+    assert toxicity.score(docs([]), model).count() == 0
+
+
+def test_toxicity_held_out(spark, data):
+    rows = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, data).collect()}
+    assert len(rows) == table(spark, data, "documents").count()
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for d, r in rows.items())
+
+
+# Tokenizer
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x17F), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_encoder_equals_library(text):
+    e = test_encoder_equals_library.__dict__.setdefault("encoder", Encoder(tokenizer_path()))
+    assert e.encode(text) == e.whole([text])[0]
+
+
+@pytest.mark.parametrize("text", ["", "A  b c", "<|endoftext|> a", "it's I'LL don't 1a2 ½²", "ΑΣ", "á e"])
+def test_encoder_cases(text):
+    e = Encoder(tokenizer_path())
+    assert e.encode(text) == e.whole([text])[0]
