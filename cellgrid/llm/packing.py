@@ -123,7 +123,7 @@ def sequences(packed: DataFrame, max_len: int = MAX_LEN, pad_id: int = 0) -> Dat
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda s, p: F.concat(s, p["ids"]))
     size = F.col("n_tokens")
-    pad = F.when(size == F.shiftleft(F.lit(1).cast("long"), F.floor(F.log2(size.cast("double"))).cast("int")), 0).otherwise(max_len - size)
+    pad = F.when(size.bitwiseAND(size - 1) == 0, 0).otherwise(max_len - size)
     one = F.lit(int(pad_id).to_bytes(4, "little"))
     out = packed.groupBy("sequence_id").agg(total.alias("n_tokens"), joined.alias("ids"))
     return out.withColumn("ids", F.concat("ids", F.aggregate(F.array_repeat(one, pad.cast("int")), F.lit(b""), lambda s, x: F.concat(s, x))))
