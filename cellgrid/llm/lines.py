@@ -5,8 +5,9 @@ as 0, other ASCII signs as blanks) and have a 64-bit SimHash of their words:
 the hashes' bits are added up in 16-bit fields of sixteen integers, so the sums
 need no array per word.  Five blocks of the fingerprint are joined two at a
 time: three differing bits leave two blocks equal (pigeonhole).  Candidates
-within three bits are verified by edit similarity, 1 - levenshtein / longer
-length >= 0.8, of the normalised lines.  Of each connected group the first
+within three bits are verified by the edit similarity of their words, 1 -
+levenshtein / longer length >= 0.8; each word stands as one of CODES characters
+by its hash, equal words as the same.  Of each connected group the first
 occurrence, by document id and line number, is kept.
 
 Keys that many nodes share are not joined with themselves.  Their nodes are
@@ -14,8 +15,8 @@ compared with a few leaders of the key, and what this connects needs no
 further comparison within; only pairs that are still in different groups are
 compared then, so no link that joins two groups is lost.
 
-Lines over LONG characters are verified in pieces of PIECE characters; the sum
-of the pieces' distances is never under the true one, so such a link is sound.
+Lines over LONG words are verified in pieces of PIECE words; the sum of the
+pieces' distances is never under the true one, so such a link is sound.
 
 Defined cases: null or empty texts stay as they are; lines of fewer than
 MIN_WORDS words are always kept; rows of equal id and text are one document
@@ -41,7 +42,9 @@ PAIRS_UP_TO, LEADERS = 24, 4
 LEFT_OVER = 16
 #: Words whose bits one row of sums holds.
 CHUNK = 16_000
-LONG, PIECE = 10_000, 2_000
+LONG, PIECE = 10_000, 1_000
+#: Characters that stand for words when lines are compared.
+CODES = 50_000
 #: Rows of a few numbers each that may be broadcast, when counted.
 NARROW_ROWS = 1_000_000
 
@@ -104,21 +107,19 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of enough edit similarity, saved."""
     pairs = save(pairs.distinct(), "pairs")
     involved = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    texts = save(lines.join(_narrow(involved), "node", "left_semi").select("node", "norm"), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
+    code = F.transform(F.split("norm", " ", -1), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + 256), 4, "0"))
+    coded = F.decode(F.unhex(F.concat_ws("", code)), "UTF-16BE")
+    texts = save(lines.join(_narrow(involved), "node", "left_semi").select("node", coded.alias("coded")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("coded").alias("y")), "b")
     longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", longer.alias("longer"), shorter.alias("shorter"), most.alias("most")).where(F.col("shorter") >= F.col("longer") - F.col("most"))
-    # A bound from words set side by side settles most pairs: the distance is at most the length of what differs.
-    size = lambda w: F.coalesce(F.length(w), F.lit(0))
-    beside = F.zip_with(F.split("x", " ", -1), F.split("y", " ", -1), lambda v, w: F.when(v == w, 0).otherwise(F.greatest(size(v), size(w))))
-    beside = F.aggregate(beside, F.lit(0), lambda s, d: s + F.coalesce(d, F.lit(0))) + F.abs(F.size(F.split("x", " ", -1)) - F.size(F.split("y", " ", -1)))
     # levenshtein() takes a constant as its bound, which saves work: small steps first, as most distances are small.
     near = F.lit(False)
-    for step, before in reversed(list(zip((10, 30, 100, 300, 1000, 4000), (0, 10, 30, 100, 300, 1000)))):
+    steps = (3, 10, 30, 100, 300, 1000, 4000)
+    for step, before in reversed(list(zip(steps, (-1, *steps)))):
         tried = F.expr(f"levenshtein(x, y, {step})")
         near = F.when(F.col("most") <= before, F.lit(False)).when((tried >= 0) & (tried <= F.col("most")), F.lit(True)).otherwise(near)
-    near = F.when(beside <= F.col("most"), F.lit(True)).otherwise(near)
     starts = F.sequence(F.lit(0), F.col("longer") - 1, F.lit(PIECE))
     apart = F.aggregate(starts, F.lit(0), lambda s, i: s + F.levenshtein(F.substring(F.col("x"), i + 1, F.lit(PIECE)), F.substring(F.col("y"), i + 1, F.lit(PIECE))))
     short = both.where(F.col("longer") <= LONG).where(near).select("a", "b")
