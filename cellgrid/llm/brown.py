@@ -11,9 +11,8 @@ tokens.  Unknown words are a class that singletons stand for (Good-Turing);
 its mass is shared by as many words as Chao's estimate says are unseen.
 
 The vocabulary is kept in shards of sorted hashes in the shared folder.  A
-worker holds them in memory if they are small, and else goes through them one
-at a time for each block of tokens, with the same results; memory is bounded
-for any vocabulary.  Hashes are of 64 bits; words of equal hash are found when
+worker goes through them one at a time for each block of tokens and keeps
+those used last, up to CACHE_BYTES; memory is bounded for any vocabulary.  Hashes are of 64 bits; words of equal hash are found when
 the shards are written, and another seed is taken.
 
 Defined cases: a null text is empty and has its end alone; rows with a null id
@@ -25,9 +24,8 @@ are ignored.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +43,10 @@ STATES = CLASSES + 3
 END_ID, UNKNOWN_ID = 0xFFFFFFFE, 0xFFFFFFFF
 #: Share of the class model in the mixture.
 MIX = 0.8
-#: Shards of up to so many bytes together stay in a worker's memory.
-CACHE_BYTES = 192 << 20
+#: Shards of up to so many bytes together stay in a worker's memory, those used last.
+CACHE_BYTES = 128 << 20
 #: Words counted before they are passed on, and tokens handled at once.
-COUNTED_WORDS, BLOCK_TOKENS = 400_000, 2_000_000
+COUNTED_WORDS, BLOCK_TOKENS = 200_000, 500_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -70,9 +68,7 @@ class Shards:
 
     def load(self, k: int) -> list[np.ndarray]:
         path, n = self.rows[k][:2]
-        if int(self.base[-1]) * sum(np.dtype(t).itemsize for t in self.dtypes) <= CACHE_BYTES:
-            return _cached(path, n, self.dtypes)
-        return _load(path, n, self.dtypes)
+        return _held(path, n, self.dtypes)
 
     def take(self, keys: np.ndarray) -> list[np.ndarray]:
         """For sorted distinct keys: the row number of each (-1: none) and its columns (0: none)."""
@@ -95,9 +91,18 @@ def _load(path: str, n: int, dtypes: tuple[str, ...]) -> list[np.ndarray]:
         return [np.frombuffer(f.read(n * np.dtype(t).itemsize), t) for t in dtypes]
 
 
-@lru_cache(maxsize=4096)
-def _cached(path: str, n: int, dtypes: tuple[str, ...]) -> list[np.ndarray]:
-    return _load(path, n, dtypes)
+#: Shards that this worker has in memory, those used last at the end.
+_HELD: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+
+
+def _held(path: str, n: int, dtypes: tuple[str, ...]) -> list[np.ndarray]:
+    if path in _HELD:
+        _HELD.move_to_end(path)
+        return _HELD[path]
+    _HELD[path] = found = _load(path, n, dtypes)
+    while len(_HELD) > 1 and sum(c.nbytes for x in _HELD.values() for c in x) > CACHE_BYTES:
+        _HELD.popitem(last=False)
+    return found
 
 
 SHARD = "path string, n long, first decimal(20,0), last decimal(20,0), clash boolean"
@@ -397,7 +402,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         words = words.join(save(assigned, "classes"), "wid", "left")
     else:
         words = words.withColumn("class", F.lit(REST))
-    model, _ = write_shards(words.select("wid", "n", F.coalesce("class", F.lit(REST)).cast("long").alias("class")).repartitionByRange("wid"), ("<u8", "<i8", "<i8"), "model")
+    model, _ = write_shards(words.select("wid", "n", F.coalesce("class", F.lit(REST)).cast("long").alias("class")).repartitionByRange("wid"), ("<u8", "<i8", "<u1"), "model")
     lookup = Lookup(model, ends)
     pairs, single = transitions(train, lookup)
     into = pairs.sum(0)
