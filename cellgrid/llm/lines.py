@@ -10,6 +10,11 @@ levenshtein / longer length >= 0.8; each word stands as one of CODES characters
 by its hash, equal words as the same.  Of each connected group the first
 occurrence, by document id and line number, is kept.
 
+Many pairs of enough similarity are further apart than three bits.  What still
+is in different groups is joined by word pairs: an edit takes at most two of
+them, so similar lines share one of the first of each in one common order
+(prefix filter).  No pair of enough similarity is lost.
+
 Keys that many nodes share are not joined with themselves.  Their nodes are
 compared with a few leaders of the key, and what this connects needs no
 further comparison within; only pairs that are still in different groups are
@@ -168,10 +173,66 @@ def links(lines: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, components(edges)
 
 
+def prefixes(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, label, n, bag, bag2, prefix), saved: n words; a bit for each of 64 kinds of words and of word pairs; the first word pairs,
+    two more than edits can take away, with long pairs before short ones and then by hash; label: the group so far."""
+    most = lambda n: F.floor(n * (1 - SIMILARITY) + 1e-9).cast("int")
+    order = lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(w), 8)
+    n = F.col("n")
+    rows = lines.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("label"), F.split("norm", " ", -1).alias("words")).withColumn("n", F.size("words"))
+    pair = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda x, y: order(F.concat_ws(" ", x, y)))
+    rows = rows.withColumn("all", F.array_sort(pair))
+    # An edit takes two pairs, or one from the shorter line if it puts a word in, which may add to the edits of the longer.
+    rows = rows.withColumns({"lost": F.greatest(2 * most(n), 2 * most(n + 1) - 1), "once": F.array_distinct("all")})
+
+    def earlier(x: Column, i: Column) -> Column:
+        """How many equal elements stand before place i of the sorted array, by halving steps."""
+        steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+        return F.aggregate(steps, F.lit(0), lambda off, p: F.when(i - off - p < 0, off).when(F.col("all")[F.greatest(i - off - p, F.lit(0))] == x, off + p).otherwise(off))
+
+    # Of lines with few different pairs the repetitions count, after the others.
+    again = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("x"), earlier(x, i).alias("k"))), lambda s: s["k"] > 0)
+    again = F.array_sort(F.transform(again, lambda s: F.xxhash64(s["x"], s["k"])))
+    several = F.when(F.size("once") < F.col("lost") + 2, F.concat("once", again)).otherwise(F.col("once"))
+    bag = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    single = bag(F.transform("words", lambda w: F.xxhash64(w)))
+    return save(rows.select("node", "label", "n", single.alias("bag"), bag("once").alias("bag2"), F.slice(several, F.lit(1), F.col("lost") + 2).alias("prefix")), "prefixes")
+
+
+def _alike(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key that are of different groups and whose lengths and bags allow the similarity."""
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "bag", "bag2")]) for side in "xy")
+    most = F.floor(F.greatest("n_x", "n_y") * (1 - SIMILARITY) + 1e-9)
+    bits = lambda bag: F.bit_count(F.col(f"{bag}_x").bitwiseXOR(F.col(f"{bag}_y")))
+    near = (F.abs(F.col("n_x") - F.col("n_y")) <= most) & (bits("bag") <= 2 * most) & (bits("bag2") <= 4 * most)
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
+def closer(lines: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, root) of the components of all pairs of enough similarity; edges, parts: those of links()."""
+    rows = prefixes(lines, parts)
+    keyed = rows.select("node", "label", "n", "bag", "bag2", F.explode("prefix").alias("key"))
+
+    def mixed(keyed: DataFrame) -> DataFrame:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("label").alias("least"), F.max("label").alias("greatest"))
+        return save(sizes.where("least <> greatest").select("key", "count"), "sizes")
+
+    sizes = mixed(keyed)
+    shared = save(keyed.join(_narrow(sizes), "key"), "shared")
+    # Word pairs of many lines count two at a time: lines that share no rarer one of their prefixes share two of these.
+    hot = shared.where(F.col("count") > PAIRS_UP_TO).groupBy("node", "label", "n", "bag", "bag2").agg(F.array_sort(F.collect_list("key")).alias("hot"))
+    twos = F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, F.size("hot")), lambda y: F.xxhash64(x, y))))
+    double = save(hot.select("node", "label", "n", "bag", "bag2", F.explode(twos).alias("key")), "double")
+    double = double.join(_narrow(mixed(double)), "key")
+    more = verify(_alike(shared.where(F.col("count") <= PAIRS_UP_TO)).union(_alike(double)), lines)
+    return parts if more.isEmpty() else components(edges.union(more))
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, id, removed): the numbers of the lines that go from each document that loses any, saved."""
     lines = distinct_lines(docs, id_col, text_col)
-    _, parts = links(lines, fingerprints(lines))
+    parts = closer(lines, *links(lines, fingerprints(lines)))
     grouped = lines.select("node", "key", "n").join(parts, "node", "left")
     known = save(grouped.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("key", F.coalesce("root", "node").alias("root")), "groups")
     found = _rows(docs, id_col, text_col).select("id", "rid", "line", F.unhex(F.md5("raw")).alias("key"))

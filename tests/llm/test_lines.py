@@ -69,3 +69,29 @@ def test_long_lines(spark, docs):
 def test_plan_has_no_python(spark, docs):
     plan = lines.dedup_lines(docs(texts(2)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_groups_equal_edit_similarity_alone(spark, docs, monkeypatch):
+    rng = np.random.default_rng(8)
+
+    def edited(text):
+        w = text.split()
+        for _ in range(int(rng.integers(1, len(w) // 5 + 2))):
+            at, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
+            w[at : at + (kind != 1)] = [] if kind == 2 else [f"w{rng.choice(list('abcdefgh'))}{rng.choice(list('abcdefgh'))}"]
+        return " ".join(w)
+
+    word = lambda: f"w{rng.choice(list('abcdefgh'))}{rng.choice(list('abcdefgh'))}"
+    base = [" ".join(word() for _ in range(n)) for n in (5, 5, 6, 7, 8, 9, 9, 10, 12, 14, 19, 24, 30, 50) for _ in range(2)]
+    base += ["a a a a a", "b a b a b a b a b a", "a a a a a a a a a b", "x y " * 30, "of the in to a"]
+    found = lines.distinct_lines(docs(base + [edited(t) for t in base for _ in range(4)]))
+    rows = {r["node"]: r["norm"].split() for r in found.collect()}
+    pairs = [(a, b) for a in rows for b in rows if a < b and 5 * brute.levenshtein(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))]
+    want = brute.union(pairs, rows)
+    first = lines.links(found, lines.fingerprints(found))
+    by_prints = {r["node"]: r["root"] for r in first[1].collect()}
+    assert {n: by_prints.get(n, n) for n in rows} != want
+    for most in (24, 1):
+        monkeypatch.setattr(lines, "PAIRS_UP_TO", most)
+        got = {r["node"]: r["root"] for r in lines.closer(found, *first).collect()}
+        assert {n: got.get(n, n) for n in rows} == want
