@@ -24,10 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, small
@@ -89,14 +90,6 @@ def golay_indices(words: np.ndarray) -> list[list[int]]:
     return [sorted(set(row)) for row in near.tolist()]
 
 
-def word_set_hashes(text: bytes, seed: int) -> np.ndarray:
-    """XXH64 of each distinct word."""
-    from xxhash import xxh64_intdigest
-
-    words = set(text.lower().split())
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), "<u8", len(words))
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) with the fingerprint as a signed 64-bit integer; saved."""
 
@@ -163,51 +156,79 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-#: Fingerprints of the distinct words that near_copies() takes beside that of the shingles, and the words that they need.
-WORD_SETS, SET_WORDS = 4, 20
+#: Jaccard similarity of the shingles from which near_copies() links.
+JACCARD = 0.8
+#: Members of a crowded key with which its others are compared first, and how often that is done.
+LEADERS, ROUNDS = 4, 2
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of rows of texts (row, text binary) whose shingle sets have a similarity of JACCARD, saved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
+
+    pairs = save(pairs.distinct(), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = save(texts.join(involved, "row", "left_semi").mapInArrow(run, "row long, set array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    met, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return save(both.where(met >= total * (JACCARD / (1 + JACCARD)) - 1e-9).select("a", "b"), "verified")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less all but the first, by id, of each group of near copies; saved on the way.
 
-    Texts are linked if their fingerprints of five-word shingles are within
-    two bits, or any of WORD_SETS fingerprints of their distinct words, each by
-    another seed.  A changed word changes five shingles but one word, so the
-    latter find copies whose shingles are alike to 0.8 and more, which move
-    more bits of the shingles' fingerprint than the keys can bridge.
+    Texts are linked if their sets of five-word shingles have a Jaccard
+    similarity of JACCARD.  All such pairs are found: they share one of the
+    first n - ceil(JACCARD n) + 1 of their n shingles in the order of the
+    hashes (prefix filter), and each is verified by the sets.  A key of many
+    texts is compared with a few leaders first; only pairs that are then in
+    different groups are compared beyond.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kinds, fps = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                text = text.as_py() or b""
-                found = [majority(shingle_hashes(text, shingle))]
-                for seed in range(1, WORD_SETS + 1):
-                    h = word_set_hashes(text, seed)
-                    if len(h) < SET_WORDS:
-                        break
-                    found.append(majority(h))
-                rows += [row] * len(found)
-                kinds += range(len(found))
-                fps += found
-            i = {r: k for k, r in enumerate(batch.column(0).to_pylist())}
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(1).take(pa.array([i[r] for r in rows], pa.int64())), pa.array(kinds, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["row", "id", "v", "fp"])
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(2)]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            starts = [x[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1].view(np.int64) for x in sets]
+            whole = [md5(x.tobytes()).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(starts, pa.list_(pa.int64()))], names=["row", "id", "whole", "n", "prefix"])
 
     kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     rows = kept.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    prints = save(rows.mapInArrow(run, f"row long, id {docs.schema[id_col].dataType.simpleString()}, v int, fp long"), "prints")
-    nodes = save(prints.select("v", "fp").distinct(), "nodes")
-    # Nodes of the graph are shingle fingerprints; other kinds are told apart by a hash.
-    node = lambda fp: F.when(F.col("v") == 0, F.col(fp)).otherwise(F.xxhash64("v", fp))
-    linked = save(links(nodes, bits).select(node("a").alias("a"), node("b").alias("b")), "links")
-    own = prints.where("v = 0").select("row", F.col("fp").alias("a"))
-    others = prints.where("v > 0").select("row", node("fp").alias("b"))
-    ties = save(own.join(others, "row").select("a", "b").distinct(), "ties")
-    useful = linked.select(F.explode(F.array("a", "b")).alias("b")).union(ties.groupBy("b").count().where("count > 1").select("b")).distinct()
-    parts = components(linked.union(ties.join(useful, "b", "left_semi").select("a", "b")))
-    firsts = prints.where("v = 0").join(parts, F.col("fp") == F.col("node"), "left").select("row", "id", F.coalesce("root", "fp").alias("root"))
-    grouped = save(firsts, "grouped")
+    sets = save(rows.mapInArrow(run, f"row long, id {docs.schema[id_col].dataType.simpleString()}, whole binary, n int, prefix array<long>"), "prefixes")
+    # Texts of equal sets are one node, the least of their rows.
+    nodes = save(sets.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
+    first = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    keyed = first.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("at", "key"))
+    crowd = save(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "sizes")
+    shared = save(keyed.join(crowd, "key"), "shared")
+
+    def alike(x: DataFrame, y: DataFrame, differ: str) -> DataFrame:
+        """Pairs of rows that share a key, whose sizes and places allow the similarity."""
+        x, y = (d.select(F.col("key").alias(f"key_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in ("key", "count")]) for d, s in ((x, "x"), (y, "y")))
+        need = (F.col("n_x") + F.col("n_y")) * (JACCARD / (1 + JACCARD)) - 1e-9
+        left = F.least(F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")), "n_x", "n_y")
+        met = x.join(y, (F.col("key_x") == F.col("key_y")) & F.expr(differ) & (left >= need))
+        return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+    few, hot = shared.where(F.col("count") <= PAIRS_UP_TO), shared.where(F.col("count") > PAIRS_UP_TO)
+    edges = _verified(alike(few, few, "node_x < node_y"), rows.select("row", "text"), shingle)
+    if not hot.isEmpty():
+        for turn in range(ROUNDS):
+            order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            leaders = save(hot.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
+            edges = edges.union(_verified(alike(hot, leaders, "node_x <> node_y"), rows.select("row", "text"), shingle))
+        labelled = save(hot.join(components(edges), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("label")), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
+        labelled = save(labelled.join(mixed, "key", "left_semi"), "mixed")
+        edges = edges.union(_verified(alike(labelled, labelled, "node_x < node_y AND label_x <> label_y"), rows.select("row", "text"), shingle))
+    parts = components(edges)
+    rooted = nodes.join(parts, "node", "left").select("whole", F.coalesce("root", "node").alias("root"))
+    grouped = save(sets.select("row", "id", "whole").join(rooted, "whole").select("row", "id", "root"), "grouped")
     best = save(grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"), "best")
     gone = save(grouped.join(best, "root").where(F.col("row") != F.col("best.row")).select(F.col("row").alias("_row")), "gone")
     return kept.join(small(gone, gone.count()), "_row", "left_anti").drop("_row")

@@ -62,3 +62,25 @@ def test_components(spark):
     used = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == {k: v for k, v in brute.union(pairs, {x for p in pairs for x in p}).items() if k in used}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_by_shingle_similarity(spark, docs, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in [6, 8, 12, 18, 30, 60, 150, 400, 1000] * 2:
+        base = [f"t{x}" for x in rng.integers(0, 5000, n)]
+        texts.append(" ".join(base))
+        for changed in (1, max(1, n // 50), max(1, n // 42), n // 20 + 1, n // 10 + 1):
+            w = base.copy()
+            for at in rng.integers(0, n, changed):
+                w[at] = "changed" if rng.integers(0, 2) else ""
+            texts.append(" ".join(w))
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [passage + " " + " ".join(f"t{x}" for x in rng.integers(0, 5000, 5 + k)) for k in range(12)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    want = set(brute.union(pairs, range(len(texts))).values())
+    assert pairs and len(want) > 20
+    for most in (32, 3):
+        monkeypatch.setattr(simhash, "PAIRS_UP_TO", most)
+        assert {r["doc_id"] for r in simhash.near_copies(docs(texts)).select("doc_id").collect()} == want
