@@ -1,6 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates (native).
 
-A block is a line of the text.  Tokens are ordered by their frequency over all
+A block is a line of the text.  A template may also run over line breaks: it
+is found as well where that share of its tokens stands within WINDOW times as
+many words of the text as it has, lines aside.  Such places give labels and
+scores; `blocks` has the lines that hold a template alone.  Tokens are ordered by their frequency over all
 blocks, rarest first.  A block can reach the containment threshold t in a
 template of n tokens only if it has at least ceil(t n) distinct tokens (length
 filter) and one of the template's first n - ceil(t n) + 1 tokens (prefix
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, save, spaced_words, words_of
 
 THRESHOLD = 0.9
+#: Words of a place over line breaks, to those of the template.
+WINDOW = 1.25
 
 #: Phrases that name a license by themselves.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -79,6 +84,7 @@ class Templates:
     def __init__(self, docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
         self.spark = docs.sparkSession
         words = [sorted(set(text.split())) for _, text in templates]
+        self.widths = [int(WINDOW * len(text.split())) for _, text in templates]
         vocabulary = F.broadcast(self.spark.createDataFrame([(t,) for t in sorted({t for w in words for t in w})], "token string"))
         tokens = docs.select(F.explode(F.split(spaced_words(F.col(text_col)), " ", -1)).alias("token"))
         counted = {r["token"]: r["count"] for r in tokens.join(vocabulary, "token").groupBy("token").count().collect()}  # at most the templates' vocabulary
@@ -108,6 +114,24 @@ class Templates:
         verified = probes.select("rid", "block", "template", "label", "n", "need", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
         return verified.select("rid", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
 
+    def places(self, texts: DataFrame) -> DataFrame:
+        """(rid, label, containment) of every template that meets the threshold somewhere in texts (rid, words array with repeats).
+
+        Such a place has a prefix token; the windows around each of these are looked at.
+        """
+        rows = [(t, k, label, n, need, ordered, self.widths[k]) for t, k, label, n, need, _, ordered in self.index]
+        index = F.broadcast(self.spark.createDataFrame(rows, "token string, template int, label string, n int, need int, ordered array<string>, width int"))
+        tokens = sorted({r[0] for r in self.index})
+        found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i].isin(tokens))
+        near = texts.where(F.size("words") > 0).select("rid", "words", F.explode(found).alias("at")).withColumn("token", F.col("words")[F.col("at")]).join(index, "token")
+        start = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+        around = near.select("rid", "label", "n", "need", "ordered", "width", F.slice("words", start + 1, F.col("at") + F.col("width") - start).alias("around"))
+        around = around.where(F.size(F.array_intersect("ordered", "around")) >= F.col("need"))
+        starts = F.sequence(F.lit(1), F.size("around"))
+        overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("ordered", F.slice("around", i, F.col("width"))))))
+        met = around.select("rid", "label", "n", "need", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
+        return met.select("rid", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score, blocks."""
@@ -120,18 +144,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     stored = save(
         base.select(
             F.monotonically_increasing_id().alias("rid"), "id", n_words.cast("long").alias("n_words"), "n_base", "first_word", "last_word",
-            F.array_sort(F.array_distinct("base_labels")).alias("base_labels"), F.when(lined.rlike(known.pattern()), held).alias("held"),
+            F.array_sort(F.array_distinct("base_labels")).alias("base_labels"), F.when(lined.rlike(known.pattern()), F.struct(held.alias("lines"), F.col("spaced"))).alias("held"),
         ),
         "blocks",
     )
     lines = save(
         stored.where(F.col("held").isNotNull())
-        .select("rid", F.explode("held").alias("held"))
+        .select("rid", F.explode("held.lines").alias("held"))
         .select("rid", "held.block", F.array_distinct(words_of(F.trim(F.regexp_replace("held.line", " +", " ")))).alias("words")),
         "lines",
     )
+    wide = stored.where(F.col("held").isNotNull()).select("rid", words_of(F.col("held.spaced")).alias("words"))
     found = (
         known.matches(lines)
+        .select("rid", "label", "containment", "block")
+        .union(known.places(wide).withColumn("block", F.lit(None).cast("int")))
         .groupBy("rid")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.array_sort(F.collect_set("block")).alias("blocks"))
     )

@@ -75,6 +75,19 @@ def test_containment_is_exact(spark, blocks):
     assert r["blocks"] == [i for i, b in enumerate(blocks) if any(over(t, b) >= 0.6 for _, t in templates)]
 
 
+def test_licenses_over_line_breaks(spark, docs):
+    wrapped = [
+        "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files (the Software)",
+        "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:",
+        "x " * 500 + "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. " + "y " * 500,
+        "This program is free software: you can redistribute it and/or\n\nmodify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation",
+        "all " + "x\n" * 9 + "rights " + "x\n" * 9 + "reserved",
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(wrapped)).collect()}
+    assert [got[i]["labels"] for i in range(5)] == [["mit"], ["bsd"], ["mpl-2"], ["gpl"], []]
+    assert [got[i]["score"] for i in range(5)] == [1.0, 1.0, 1.0, 1.0, 0.0] and all(not got[i]["blocks"] for i in range(5))
+
+
 # Language model
 
 
