@@ -32,7 +32,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), short=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

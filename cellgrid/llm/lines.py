@@ -24,7 +24,9 @@ Lines over LONG words are verified in pieces of PIECE words; the sum of the
 pieces' distances is never under the true one, so such a link is sound.
 
 Defined cases: null or empty texts stay as they are; lines of fewer than
-MIN_WORDS words are always kept; rows of equal id and text are one document
+MIN_WORDS words are kept, or with `short` grouped by their normalised form (by
+themselves if they are signs alone), blank ones kept; each letter of a script
+without blanks is a word; rows of equal id and text are one document
 and treated alike; a null id sorts first; an empty table gives no rows.
 """
 
@@ -54,22 +56,37 @@ CODES = 50_000
 NARROW_ROWS = 1_000_000
 
 
+#: Letters of scripts written without blanks; each is a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, UPPER + "123456789", LOWER + "0" * 9), WORD_GAP, " "))
+    spaced = F.regexp_replace(F.translate(line, UPPER + "123456789", LOWER + "0" * 9), WORD_GAP, " ")
+    # These letters have three bytes or more; most lines are told by their bytes.
+    apart = F.regexp_replace(F.regexp_replace(spaced, UNSPACED, " $1 "), " +", " ")
+    return F.trim(F.when((F.octet_length(line) >= F.length(line) + 2) & spaced.rlike(UNSPACED), apart).otherwise(spaced))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, line, raw) of every line; rid stands for the document's row."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """(id, rid, line, raw) of every line that can count; rid stands for the document's row."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
-    return rows.where(F.length("raw") >= 2 * MIN_WORDS - 1)
+    if short:
+        return rows.where(F.trim(F.translate("raw", "\t\r\f\x0b", "    ")) != "")
+    return rows.where((F.length("raw") >= 2 * MIN_WORDS - 1) | (F.octet_length("raw") >= F.length("raw") + 2 * MIN_WORDS))
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(node, key, n, norm) of each distinct line that counts, saved; key: MD5 of the raw line, n: how often it stands."""
-    raw = _rows(docs, id_col, text_col).groupBy("raw").agg(F.count("*").alias("n"))
+    raw = _rows(docs, id_col, text_col, short).groupBy("raw").agg(F.count("*").alias("n"))
     out = raw.select(F.unhex(F.md5("raw")).alias("key"), "n", normalised(F.col("raw")).alias("norm"))
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return save(out.where(words >= MIN_WORDS).withColumn("node", F.monotonically_increasing_id()), "lines")
+    if short:
+        # A line of signs alone has no words; it is itself its form.
+        out = raw.select(F.unhex(F.md5("raw")).alias("key"), "n", "raw", normalised(F.col("raw")).alias("norm")).withColumn("long", words >= MIN_WORDS)
+        out = out.withColumn("norm", F.when(F.col("norm") == "", F.trim("raw")).otherwise(F.col("norm"))).drop("raw")
+    else:
+        out = out.where(words >= MIN_WORDS)
+    return save(out.withColumn("node", F.monotonically_increasing_id()), "lines")
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
@@ -229,13 +246,19 @@ def closer(lines: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
     return parts if more.isEmpty() else components(edges.union(more))
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(rid, id, removed): the numbers of the lines that go from each document that loses any, saved."""
-    lines = distinct_lines(docs, id_col, text_col)
-    parts = closer(lines, *links(lines, fingerprints(lines)))
+    lines = distinct_lines(docs, id_col, text_col, short)
+    counted = lines.where("long").drop("long") if short else lines
+    parts = closer(counted, *links(counted, fingerprints(counted)))
+    if short:
+        # Lines of few words are grouped by their form alone.
+        few = lines.where(~F.col("long")).select("node", "norm")
+        forms = few.groupBy("norm").agg(F.min("node").alias("root"), F.count("*").alias("forms")).where("forms > 1")
+        parts = parts.union(few.join(forms, "norm").select("node", "root"))
     grouped = lines.select("node", "key", "n").join(parts, "node", "left")
     known = save(grouped.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("key", F.coalesce("root", "node").alias("root")), "groups")
-    found = _rows(docs, id_col, text_col).select("id", "rid", "line", F.unhex(F.md5("raw")).alias("key"))
+    found = _rows(docs, id_col, text_col, short).select("id", "rid", "line", F.unhex(F.md5("raw")).alias("key"))
     found = save(found.join(_narrow(known), "key").select("id", "rid", "line", "root"), "found")
     place = F.struct("id", "rid", "line")
     first = save(found.groupBy("root").agg(F.min(place).alias("first")), "first")
@@ -243,10 +266,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return save(gone.groupBy("rid", "id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with duplicate lines taken out of the text, and the columns n_lines, n_removed (of the text before) in place of any so named."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """docs with duplicate lines taken out of the text, and the columns n_lines, n_removed (of the text before) in place of any so named.
+
+    short: lines of fewer than MIN_WORDS words that are alike once normalised are duplicates too.
+    """
     docs = docs.drop("n_lines", "n_removed")
-    gone = duplicates(docs, id_col, text_col).withColumnsRenamed({"rid": "_rid", "id": "_id", "removed": "_removed"})
+    gone = duplicates(docs, id_col, text_col, short).withColumnsRenamed({"rid": "_rid", "id": "_id", "removed": "_removed"})
     size = gone.agg(F.sum(F.size("_removed") + 8)).first()[0] or 0
     gone = F.broadcast(gone) if size <= 4 * NARROW_ROWS else gone
     text, lines = F.col(text_col), F.split(text_col, "\n", -1)

@@ -95,3 +95,12 @@ def test_groups_equal_edit_similarity_alone(spark, docs, monkeypatch):
         monkeypatch.setattr(lines, "PAIRS_UP_TO", most)
         got = {r["node"]: r["root"] for r in lines.closer(found, *first).collect()}
         assert {n: got.get(n, n) for n in rows} == want
+
+
+def test_short_and_unspaced_lines(spark, docs):
+    long = "東京都は日本の首都であり世界で最も人口の多い都市の一つです"
+    d = docs(["All rights reserved.\n---\n \nLes.\n" + long, "les\nall rights reserved\n***\n \n---\n" + long.replace("最", "極"), "Les."])
+    rows = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(d, short=True).collect()}
+    assert rows == {0: ("All rights reserved.\n---\n \nLes.\n" + long, 0), 1: ("***\n ", 4), 2: ("", 1)}
+    kept = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(d).collect()}
+    assert kept == {0: 0, 1: 1, 2: 0}
