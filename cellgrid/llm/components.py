@@ -36,5 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         now = after
         if found == state:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
+            out = now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
+            out._saved_path = now._saved_path
+            return out
         state = found

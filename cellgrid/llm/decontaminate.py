@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small, spaced_words, words_of
+from .common import save, small, words_of
 
 WINDOW = 13
 
@@ -28,7 +28,7 @@ def store_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The words are stored as an array, as a split in the plan would be done
     again for each posting.
     """
-    rows = docs.select(F.col(id_col).alias("id"), words_of(spaced_words(F.col(text_col))).alias("words"), *(keep or []))
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"), *(keep or []))
     return save(rows.withColumn("rid", F.monotonically_increasing_id()), "words")
 
 
@@ -40,7 +40,7 @@ def postings(stored: DataFrame, terms: DataFrame | None = None, n_terms: int = 0
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct items (item, words) that have a word."""
-    out = items.select(F.col(id_col).alias("item"), words_of(spaced_words(F.col(text_col))).alias("words"))
+    out = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words"))
     return out.where(F.col("item").isNotNull() & (F.size("words") > 0)).distinct()
 
 

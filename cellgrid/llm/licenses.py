@@ -151,7 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     lines = save(
         stored.where(F.col("held").isNotNull())
         .select("rid", F.explode("held.lines").alias("held"))
-        .select("rid", "held.block", F.array_distinct(words_of(F.trim(F.regexp_replace("held.line", " +", " ")))).alias("words")),
+        .select("rid", "held.block", F.array_distinct(words_of(F.col("held.line"))).alias("words")),
         "lines",
     )
     wide = stored.where(F.col("held").isNotNull()).select("rid", words_of(F.col("held.spaced")).alias("words"))

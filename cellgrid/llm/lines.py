@@ -1,123 +1,166 @@
 """Fuzzy line dedup (native DataFrame plan).
 
-Each distinct line is a node.  Lines are normalised (A-Z in lower case, digits
-as 0, other ASCII signs as blanks) and have a 64-bit SimHash of their words:
-the hashes' bits are added up in 16-bit fields of sixteen integers, so the sums
-need no array per word.  Five blocks of the fingerprint are joined two at a
-time: three differing bits leave two blocks equal (pigeonhole).  Candidates
-within three bits are verified by the edit similarity of their words, 1 -
-levenshtein / longer length >= 0.8; each word stands as one of CODES characters
-by its hash, equal words as the same.  Of each connected group the first
-occurrence, by document id and line number, is kept.
-
-Many pairs of enough similarity are further apart than three bits.  What still
-is in different groups is joined by word pairs: an edit takes at most two of
-them, so similar lines share one of the first of each in one common order
-(prefix filter).  No pair of enough similarity is lost.
-
-Keys that many nodes share are not joined with themselves.  Their nodes are
-compared with a few leaders of the key, and what this connects needs no
-further comparison within; only pairs that are still in different groups are
-compared then, so no link that joins two groups is lost.
-
-Lines over LONG words are verified in pieces of PIECE words; the sum of the
-pieces' distances is never under the true one, so such a link is sound.
-
-Defined cases: null or empty texts stay as they are; lines of fewer than
-MIN_WORDS words are kept, or with `short` grouped by their normalised form (by
-themselves if they are signs alone), blank ones kept; each letter of a script
-without blanks is a word; rows of equal id and text are one document
-and treated alike; a null id sorts first; an empty table gives no rows.
+Lines are normalised: lower case, digits as 0, other ASCII signs as blanks; each
+letter of a script written without blanks is a word.  Equal normalised lines
+are one node.  A node of MIN_WORDS words or more has a 64-bit SimHash of its
+words with the next ones, so that the same words in another order are told
+apart; the words are exploded once, and one aggregation gives both the counts
+of the hashes' bits, in 16-bit fields of sixteen integers, and the sums of the
+words' hashes in sixteen blocks into which the words are dealt by hash.
+
+Pigeonhole blocks are of two kinds.  Two of the four blocks of the fingerprint
+are equal if two bits or fewer differ.  Edits of a few words change the blocks
+of those words alone, so one of the blocks of words stays equal while many
+more bits of the fingerprint may differ; how many blocks there are follows
+from the number of words, and small blocks count two at a time, so a block's
+use depends on its words and not on the corpus.  Nodes that share a block are
+compared by their fingerprints (BITS), their lengths, and then by the edit
+similarity of the normalised lines, 1 - levenshtein / longer length >= 0.8, in
+characters.  Of each connected group the first occurrence, by document id and
+line number, is kept.
+
+Nodes that share a block are not paired with each other.  All are compared
+with one leader of the block, which makes as many pairs as there are rows;
+blocks whose nodes are all in one group then need nothing more.  While very
+many pairs of different groups are left, another leader is taken; the rest is
+compared in full, so no link is lost.
+
+Defined cases: null or empty texts stay as they are; blank lines are kept;
+lines of fewer than MIN_WORDS words are kept, or with `short` grouped by their
+normalised form (by themselves if they are signs alone); rows of equal id and
+text are one document and treated alike; a null id sorts first; lines of any
+length are compared whole; an empty table gives no rows; other columns keep
+their values whatever their names, but for n_lines and n_removed.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_GAP, save
+from .common import WORD_GAP, Scratch, at_once, drop_saved, unused
 from .components import components
 
-MIN_WORDS, SIMILARITY, BITS = 5, 0.8, 3
-#: First bit and length of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: A key of more nodes is compared with leaders first.
-PAIRS_UP_TO, LEADERS = 24, 4
-#: Rounds of leaders go on while more pairs than this for each node are left, and each round halves them.
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: Lines whose fingerprints differ in more bits are not compared.
+BITS = 20
+#: Bits of each of the four blocks of a fingerprint, two of which make a key.
+BLOCK_BITS = 16
+#: Blocks of words: (number, from words, to words).  The ranges overlap by more than lengths of similar lines differ.
+WORD_BLOCKS = ((16, 80, None), (8, 24, 110), (4, 0, 32))
+#: Words that a block needs to be a key of its own; lines of fewer words than PAIRED also take the four blocks two at a time.
+BLOCK_WORDS, PAIRED = 3, 16
+#: Words whose sums one row holds: fields of 16 bits, block sums of 40 bits and counts of 11.
+CHUNK = 2_000
+#: Leaders are taken while more pairs than this for each row are left, and each halves them.
 LEFT_OVER = 16
-#: Words whose bits one row of sums holds.
-CHUNK = 16_000
-LONG, PIECE = 10_000, 1_000
-#: Characters that stand for words when lines are compared.
-CODES = 50_000
 #: Rows of a few numbers each that may be broadcast, when counted.
 NARROW_ROWS = 1_000_000
 
-
 #: Letters of scripts written without blanks; each is a word.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Characters among which all those letters are; quicker to look for.
+_MAYBE_UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u31ff\u3200-\u9fff\ua9e0-\uaa7f\uf900-\ufaff\uff00-\uffef\U00010000-\U0003ffff]"
+_FIELDS, _SUM, _COUNT_AT = 0x0001000100010001, (1 << 40) - 1, 52
 
 
-def normalised(line: Column) -> Column:
-    spaced = F.regexp_replace(F.translate(line, UPPER + "123456789", LOWER + "0" * 9), WORD_GAP, " ")
-    # These letters have three bytes or more; most lines are told by their bytes.
-    apart = F.regexp_replace(F.regexp_replace(spaced, UNSPACED, " $1 "), " +", " ")
-    return F.trim(F.when((F.octet_length(line) >= F.length(line) + 2) & spaced.rlike(UNSPACED), apart).otherwise(spaced))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
-    """(id, rid, line, raw) of every line that can count; rid stands for the document's row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
-    if short:
-        return rows.where(F.trim(F.translate("raw", "\t\r\f\x0b", "    ")) != "")
-    return rows.where((F.length("raw") >= 2 * MIN_WORDS - 1) | (F.octet_length("raw") >= F.length("raw") + 2 * MIN_WORDS))
-
-
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """(node, key, n, norm) of each distinct line that counts, saved; key: MD5 of the raw line, n: how often it stands."""
-    raw = _rows(docs, id_col, text_col, short).groupBy("raw").agg(F.count("*").alias("n"))
-    out = raw.select(F.unhex(F.md5("raw")).alias("key"), "n", normalised(F.col("raw")).alias("norm"))
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    if short:
-        # A line of signs alone has no words; it is itself its form.
-        out = raw.select(F.unhex(F.md5("raw")).alias("key"), "n", "raw", normalised(F.col("raw")).alias("norm")).withColumn("long", words >= MIN_WORDS)
-        out = out.withColumn("norm", F.when(F.col("norm") == "", F.trim("raw")).otherwise(F.col("norm"))).drop("raw")
-    else:
-        out = out.where(words >= MIN_WORDS)
-    return save(out.withColumn("node", F.monotonically_increasing_id()), "lines")
-
-
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """(node, fp), saved."""
-    words = lines.select("node", F.posexplode(F.split("norm", " ", -1)).alias("pos", "word")).select("node", (F.col("pos") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
-    fields = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(fields)).alias(f"s{k}") for k in range(16)]
-    counted = save(words.groupBy("node", "chunk").agg(F.count("*").cast("int").alias("n"), *sums), "sums")
-    several = save(counted.where("chunk > 0").select("node").distinct(), "several")
-    # Adding 2^14 - 1 - n div 2 sets a field's bit 14 just if it holds over n div 2, that is over half of n.
-    half = (F.lit((1 << 14) - 1) - F.shiftright("n", 1)).cast("long")
-    spread = half + F.shiftleft(half, 16) + F.shiftleft(half, 32) + F.shiftleft(half, 48)
-    fp = F.lit(0).cast("long")
-    for k in range(16):
-        fp = fp.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + spread, 14).bitwiseAND(fields), k))
-    one = counted.join(several, "node", "left_anti").select("node", fp.alias("fp"))
-    bits = F.array(*[F.shiftrightunsigned(f"s{b % 16}", b // 16 * 16).bitwiseAND(F.lit(0xFFFF)) for b in range(64)])
-    each = counted.join(several, "node").select("node", "n", F.posexplode(bits).alias("bit", "c")).groupBy("node", "bit").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    many = each.groupBy("node").agg(F.sum(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
-    return save(one.union(many), "prints")
+def normalised(line: Column, unspaced: Column) -> Column:
+    """unspaced: whether there can be letters of scripts without blanks."""
+    apart = F.when(unspaced, F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(apart), "[1-9]", "0"), WORD_GAP, " "))
+
+
+def _row_id(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def occurrences(docs: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """(id, rid, line, p, n, c, norm, k1, k2) of every line that counts, saved; rid stands for the document's row, (k1, k2) for the normalised line of n words and c characters."""
+    text = F.col(text_col)
+    unspaced = text.rlike("[\u0e00-\U0010ffff]") & text.rlike(_MAYBE_UNSPACED)
+    rows = docs.select(F.col(id_col).alias("id"), at_once(_row_id(id_col, text_col)).alias("rid"), at_once(unspaced).alias("unspaced"), F.split(text, "\n", -1).alias("raws"))
+    rows = rows.select("id", "rid", "unspaced", F.posexplode("raws").alias("line", "raw"))
+    # A line of signs alone has no words; it is itself its form.
+    rows = rows.select("id", "rid", "line", F.monotonically_increasing_id().alias("p"), normalised(F.col("raw"), F.col("unspaced")).alias("words"), "raw")
+    form = F.when(F.col("words") != "", F.col("words")).otherwise(F.trim(F.translate("raw", "\t\r\f\x0b", "    ")))
+    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("id", "rid", "line", "p", n.alias("n"), form.alias("norm")).where((F.col("norm") != "") if short else (F.col("n") >= MIN_WORDS))
+    return hold.save(rows.withColumns({"c": F.length("norm"), "k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")}), "lines", "zstd")
 
 
-def _keys(prints: DataFrame) -> DataFrame:
-    """(key, node, fp): one row for each two blocks."""
-    cut = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for at, n in BLOCKS]
-    keys = [F.shiftleft(F.lit(i).cast("long"), 32) + F.shiftleft(cut[a], 13) + cut[b] for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return prints.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
+def distinct_lines(found: DataFrame, hold: Scratch) -> DataFrame:
+    """(k1, k2, node, n, first, times) of each normalised line, saved: node is the p of one occurrence, first the least (id, rid, line)."""
+    nodes = found.groupBy("k1", "k2").agg(F.min("p").alias("node"), F.min("n").alias("n"), F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("times"))
+    return hold.save(nodes, "nodes")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BITS).select("a", "b")
+def _fingerprint(n: Column, sums: list[Column]) -> Column:
+    # Adding 2^14 - 1 - n div 2 sets a field's bit 14 just if it holds over n div 2, that is over half of n.
+    half = (F.lit((1 << 14) - 1) - F.shiftright(n, 1)).cast("long")
+    spread = half + F.shiftleft(half, 16) + F.shiftleft(half, 32) + F.shiftleft(half, 48)
+    fp = F.lit(0).cast("long")
+    for k, s in enumerate(sums):
+        fp = fp.bitwiseOR(F.shiftleft(F.shiftrightunsigned(s + spread, 14).bitwiseAND(F.lit(_FIELDS)), k))
+    return fp
+
+
+def _words(lines: DataFrame, *keep: str | Column) -> DataFrame:
+    """The kept columns and (at, h, pair) of each word: its place, its hash, and that of the word and the next one."""
+    words = F.split("norm", " ", -1)
+    rows = lines.select(*keep, words.alias("w")).select(*keep, F.posexplode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("next"))).alias("at", "x"))
+    return rows.select(*keep, "at", F.xxhash64("x.w").alias("h"), F.xxhash64("x.w", F.coalesce("x.next", F.lit(""))).alias("pair"))
+
+
+def _word_sums(words: DataFrame, *by: str) -> DataFrame:
+    """n, s0 to s15 and b0 to b15 of each of `by`: words, counted bits, and blocks' counts and sums of hashes."""
+    h, pair = F.col("h"), F.col("pair")
+    own = F.shiftrightunsigned(h, 24) + F.lit(1 << _COUNT_AT)
+    bits = [F.sum(F.shiftrightunsigned(pair, k).bitwiseAND(F.lit(_FIELDS))).alias(f"s{k}") for k in range(16)]
+    blocks = [F.sum(F.when(h.bitwiseAND(F.lit(15)) == k, own).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(16)]
+    return words.groupBy(*by).agg(F.count("*").cast("int").alias("n"), *bits, *blocks)
+
+
+def _block_keys(n: Column, counts: list[Column], sums: list[Column]) -> list[Column]:
+    """A key for each block of words that a line of n words has, else null."""
+    keys = []
+    for blocks, least, most in WORD_BLOCKS:
+        c = [sum(counts[k + blocks :: blocks], counts[k]) for k in range(blocks)]
+        s = [sum(sums[k + blocks :: blocks], sums[k]).bitwiseAND(F.lit(_SUM)) for k in range(blocks)]
+        fits = (n >= least) & (n < most) if most else n >= least
+        keys += [F.when(fits & (c[k] >= BLOCK_WORDS), F.xxhash64(F.lit(blocks), F.lit(k), c[k], s[k])) for k in range(blocks)]
+    # The last ones, of few words, two at a time.
+    return keys + [F.when(n < PAIRED, F.xxhash64(F.lit(2), F.lit(i), F.lit(j), c[i], s[i], c[j], s[j])) for i, j in combinations(range(blocks), 2)]
+
+
+def _bit_keys(fp: Column) -> list[Column]:
+    cut = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for at in range(0, 64, BLOCK_BITS)]
+    return [F.xxhash64(F.lit(1), F.lit(i), F.lit(j), cut[i], cut[j]) for i, j in combinations(range(len(cut)), 2)]
+
+
+def fingerprints(found: DataFrame, nodes: DataFrame, hold: Scratch) -> DataFrame:
+    """(node, fp, c, keys) of the nodes of MIN_WORDS words or more, saved; c: characters of the normalised line."""
+    longest = nodes.agg(F.max("n")).first()[0] or 0
+    some = found.where(F.col("n") >= MIN_WORDS)
+    one = _word_sums(_words(some.where(F.col("n") <= CHUNK), "k1", "k2", "p", "c"), "k1", "k2", "p", "c")
+    # The aggregate is dealt out by these columns already, so the wide rows are not moved again.
+    one = one.join(nodes.select("k1", "k2", F.col("node").alias("p")), ["k1", "k2", "p"])
+    counts = [F.shiftrightunsigned(f"b{k}", _COUNT_AT) for k in range(16)]
+    sums = [F.col(f"b{k}").bitwiseAND(F.lit((1 << _COUNT_AT) - 1)) for k in range(16)]
+    out = one.select(F.col("p").alias("node"), "n", "c", _fingerprint(F.col("n"), [F.col(f"s{k}") for k in range(16)]).alias("fp"), F.array(*counts).alias("counts"), F.array(*sums).alias("sums"))
+    if longest > CHUNK:
+        # Longer lines are summed up in parts.
+        parts = some.where(F.col("n") > CHUNK).join(nodes.select(F.col("node").alias("p")), "p", "left_semi")
+        parts = _words(parts, "p", "c").withColumn("part", F.floor(F.col("at") / CHUNK))
+        bits = [F.shiftrightunsigned(f"s{b % 16}", b // 16 * 16).bitwiseAND(F.lit(0xFFFF)) for b in range(64)]
+        fields = _word_sums(parts, "p", "c", "part").select("p", "c", "n", F.posexplode(F.array(*bits, *counts, *[s.bitwiseAND(F.lit(_SUM)) for s in sums])).alias("at", "v"))
+        whole = fields.groupBy("p", "c", "at").agg(F.sum("n").cast("int").alias("n"), F.sum("v").alias("v")).groupBy("p", "c", "n").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("all"))
+        fp = F.aggregate(F.slice("all", 1, 64), F.lit(0).cast("long"), lambda f, x: F.when(x["v"] * 2 > F.col("n"), f.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["at"]))).otherwise(f))
+        out = out.union(whole.select(F.col("p").alias("node"), "n", "c", fp.alias("fp"), F.slice("all.v", 65, 16).alias("counts"), F.slice("all.v", 81, 16).alias("sums")))
+    counts, sums = ([F.col(name)[k] for k in range(16)] for name in ("counts", "sums"))
+    keys = F.array_compact(F.array(*_bit_keys(F.col("fp")), *_block_keys(F.col("n"), counts, sums)))
+    return hold.save(out.select("node", "fp", "c", keys.alias("keys")), "prints")
 
 
 def _narrow(df: DataFrame) -> DataFrame:
@@ -125,145 +168,103 @@ def _narrow(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= NARROW_ROWS else df
 
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _at_most(x: Column, y: Column, v: Column, w: Column) -> Column:
+    """A number that the edit distance of x and y does not exceed, from their words v and w.
+
+    Words that stand side by side are replaced one by one, or all between the
+    equal words at the start and those at the end at once.
+    """
+    def equal(first: Column, second: Column) -> Column:
+        at = F.array_position(F.zip_with(first, second, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.size(first))
+
+    singly = F.aggregate(F.zip_with(v, w, lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b)))), F.lit(0), lambda s, d: s + d)
+    head = equal(v, w)
+    tail = F.least(equal(F.reverse(v), F.reverse(w)), F.least(F.size(v), F.size(w)) - head)
+    length = lambda words: F.length(F.concat_ws(" ", words))
+    shared = length(F.slice(v, F.lit(1), head)) + length(F.slice(F.reverse(v), F.lit(1), tail))
+    return F.least(F.when(F.size(v) == F.size(w), singly), F.greatest(F.length(x), F.length(y)) - shared)
+
+
+def verify(pairs: DataFrame, found: DataFrame, hold: Scratch) -> DataFrame:
     """The pairs (a, b) of enough edit similarity, saved."""
-    pairs = save(pairs.distinct(), "pairs")
-    involved = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    code = F.transform(F.split("norm", " ", -1), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + 256), 4, "0"))
-    coded = F.decode(F.unhex(F.concat_ws("", code)), "UTF-16BE")
-    texts = save(lines.join(_narrow(involved), "node", "left_semi").select("node", coded.alias("coded")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("coded").alias("y")), "b")
-    longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-    most = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
-    both = both.select("a", "b", "x", "y", longer.alias("longer"), shorter.alias("shorter"), most.alias("most")).where(F.col("shorter") >= F.col("longer") - F.col("most"))
-    # levenshtein() takes a constant as its bound, which saves work: small steps first, as most distances are small.
-    near = F.lit(False)
-    steps = (3, 10, 30, 100, 300, 1000, 4000)
-    for step, before in reversed(list(zip(steps, (-1, *steps)))):
-        tried = F.expr(f"levenshtein(x, y, {step})")
-        near = F.when(F.col("most") <= before, F.lit(False)).when((tried >= 0) & (tried <= F.col("most")), F.lit(True)).otherwise(near)
-    starts = F.sequence(F.lit(0), F.col("longer") - 1, F.lit(PIECE))
-    apart = F.aggregate(starts, F.lit(0), lambda s, i: s + F.levenshtein(F.substring(F.col("x"), i + 1, F.lit(PIECE)), F.substring(F.col("y"), i + 1, F.lit(PIECE))))
-    short = both.where(F.col("longer") <= LONG).where(near).select("a", "b")
-    return save(short.union(both.where(F.col("longer") > LONG).where(apart <= F.col("most")).select("a", "b")), "verified")
-
-
-def links(lines: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified edges (a, b) with the components of all pairs within BITS bits and of enough similarity, and these as (node, root)."""
-    keyed = _keys(prints)
-    sizes = save(keyed.groupBy("key").count().where("count > 1"), "sizes")
-    shared = save(keyed.join(_narrow(sizes), "key"), "shared")
-    lists = shared.where(F.col("count") <= PAIRS_UP_TO).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("all"))
-    one = lists.select("all", F.posexplode("all").alias("i", "p"))
-    pairs = one.select(F.col("p.node").alias("a"), F.col("p.fp").alias("fa"), F.explode(F.slice("all", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("q"))
-    few = _near(pairs.select("a", "fa", F.col("q.node").alias("b"), F.col("q.fp").alias("fb")))
-    hot = save(shared.where(F.col("count") > PAIRS_UP_TO).select("key", "node", "fp"), "hot")
-    n_hot = hot.count()
-    if not n_hot:
-        edges = verify(few, lines)
-        return edges, components(edges)
-    edges, left, turn = None, None, 0
+    pairs = hold.save(pairs.distinct(), "pairs")
+    involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "p"), "involved")
+    texts = hold.save(found.join(_narrow(involved), "p", "left_semi").select("p", "norm"), "texts")
+    both = pairs.join(texts.select(F.col("p").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("p").alias("b"), F.col("norm").alias("y")), "b")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9).cast("int")
+    both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
+    near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
+    # What the bound leaves open is computed: most distances are small, so narrow bands come first.
+    for part in (64, 8, 1):
+        near = near | F.expr(f"levenshtein(x, y, most div {part}) >= 0")
+    # Few bytes can be much work here, so the number of parts does not follow from their size.
+    parts = 4 * both.sparkSession.sparkContext.defaultParallelism
+    out = hold.save(both.repartition(parts, "a", "b").where(near).select("a", "b"), "verified")
+    drop_saved(pairs, involved, texts)
+    return out
+
+
+def _met(rows: DataFrame, others: DataFrame, found: DataFrame, hold: Scratch, condition: Column) -> DataFrame:
+    """Verified pairs of rows and others (kb, b, fb, cb, lb) of one key whose fingerprints and lengths allow the similarity."""
+    longer, shorter = F.greatest("c", "cb"), F.least("c", "cb")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= BITS) & (shorter >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9))
+    pairs = rows.join(others, (F.col("key") == F.col("kb")) & condition & near)
+    return verify(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")), found, hold)
+
+
+def similar(found: DataFrame, prints: DataFrame, hold: Scratch) -> DataFrame:
+    """(node, root) of the components of all similar nodes that share a key."""
+    keyed = prints.select("node", "fp", "c", F.explode("keys").alias("key"))
+    sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
+    rows = hold.save(keyed.join(_narrow(sizes), "key").withColumn("label", F.col("node")), "shared")
+    drop_saved(sizes)
+    edges, parts, left, turn = None, None, None, 0
     while True:
-        first = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        leaders = hot.withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
-        pairs = hot.select("key", F.col("node").alias("a"), F.col("fp").alias("fa")).join(save(leaders, "leaders"), "key").where("a <> b")
-        pairs = _near(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = save(edges.union(verify(pairs, lines)), "edges") if edges else verify(few.union(pairs), lines)
+        order = F.xxhash64("node", F.lit(turn))
+        leader = [F.min_by(c, order).alias(name) for c, name in (("node", "b"), ("fp", "fb"), ("c", "cb"), ("label", "lb"))]
+        more = _met(rows, rows.groupBy(F.col("key").alias("kb")).agg(*leader), found, hold, F.col("label") != F.col("lb"))
+        edges = hold.save(edges.union(more), "edges") if edges is not None else more
         parts = components(edges)
-        labelled = save(hot.join(parts, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("label")), "labelled")
-        groups = save(labelled.groupBy("key", "label").count(), "groups")
-        totals = groups.groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
-        apart = groups.join(totals, "key").agg(F.sum(F.col("count") * (F.col("n") - F.col("count")))).first()[0] or 0
-        if not apart:
-            return edges, parts
-        if apart <= LEFT_OVER * n_hot or left is not None and apart * 2 > left:
+        labelled = rows.drop("label").join(parts, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = hold.save(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
+        drop_saved(rows)
+        rows = hold.save(labelled.join(mixed, "key"), "mixed")
+        drop_saved(labelled)
+        groups = rows.groupBy("key", "label").count()
+        totals = groups.groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", 2))).alias("pairs"), F.sum("count").alias("n"))
+        pairs, n = totals.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if pairs <= LEFT_OVER * n or left is not None and pairs * 2 > left:
             break
-        left, turn = apart, turn + 1
-    # What is outside its key's largest group is compared with all that the key holds of other groups.
-    largest = save(totals.select("key", F.col("most.label").alias("largest")), "largest")
-    rest = save(labelled.join(largest, "key").where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("label").alias("lb")), "rest")
-    pairs = labelled.select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("label").alias("la")).join(rest, "key").where("la <> lb")
-    more = verify(_near(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines)
-    if more.isEmpty():
-        return edges, parts
-    edges = edges.union(more)
-    return edges, components(edges)
-
-
-def prefixes(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, label, n, bag, bag2, prefix), saved: n words; a bit for each of 64 kinds of words and of word pairs; the first word pairs,
-    two more than edits can take away, with long pairs before short ones and then by hash; label: the group so far."""
-    most = lambda n: F.floor(n * (1 - SIMILARITY) + 1e-9).cast("int")
-    order = lambda w: F.shiftleft((127 - F.least(F.length(w), F.lit(127))).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(w), 8)
-    n = F.col("n")
-    rows = lines.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("label"), F.split("norm", " ", -1).alias("words")).withColumn("n", F.size("words"))
-    pair = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda x, y: order(F.concat_ws(" ", x, y)))
-    rows = rows.withColumn("all", F.array_sort(pair))
-    # An edit takes two pairs, or one from the shorter line if it puts a word in, which may add to the edits of the longer.
-    rows = rows.withColumns({"lost": F.greatest(2 * most(n), 2 * most(n + 1) - 1), "once": F.array_distinct("all")})
-
-    def earlier(x: Column, i: Column) -> Column:
-        """How many equal elements stand before place i of the sorted array, by halving steps."""
-        steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
-        return F.aggregate(steps, F.lit(0), lambda off, p: F.when(i - off - p < 0, off).when(F.col("all")[F.greatest(i - off - p, F.lit(0))] == x, off + p).otherwise(off))
-
-    # Of lines with few different pairs the repetitions count, after the others.
-    again = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("x"), earlier(x, i).alias("k"))), lambda s: s["k"] > 0)
-    again = F.array_sort(F.transform(again, lambda s: F.xxhash64(s["x"], s["k"])))
-    several = F.when(F.size("once") < F.col("lost") + 2, F.concat("once", again)).otherwise(F.col("once"))
-    bag = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    single = bag(F.transform("words", lambda w: F.xxhash64(w)))
-    return save(rows.select("node", "label", "n", single.alias("bag"), bag("once").alias("bag2"), F.slice(several, F.lit(1), F.col("lost") + 2).alias("prefix")), "prefixes")
-
-
-def _alike(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a key that are of different groups and whose lengths and bags allow the similarity."""
-    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "bag", "bag2")]) for side in "xy")
-    most = F.floor(F.greatest("n_x", "n_y") * (1 - SIMILARITY) + 1e-9)
-    bits = lambda bag: F.bit_count(F.col(f"{bag}_x").bitwiseXOR(F.col(f"{bag}_y")))
-    near = (F.abs(F.col("n_x") - F.col("n_y")) <= most) & (bits("bag") <= 2 * most) & (bits("bag2") <= 4 * most)
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & near)
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-
-
-def closer(lines: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, root) of the components of all pairs of enough similarity; edges, parts: those of links()."""
-    rows = prefixes(lines, parts)
-    keyed = rows.select("node", "label", "n", "bag", "bag2", F.explode("prefix").alias("key"))
-
-    def mixed(keyed: DataFrame) -> DataFrame:
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("label").alias("least"), F.max("label").alias("greatest"))
-        return save(sizes.where("least <> greatest").select("key", "count"), "sizes")
-
-    sizes = mixed(keyed)
-    shared = save(keyed.join(_narrow(sizes), "key"), "shared")
-    # Word pairs of many lines count two at a time: lines that share no rarer one of their prefixes share two of these.
-    hot = shared.where(F.col("count") > PAIRS_UP_TO).groupBy("node", "label", "n", "bag", "bag2").agg(F.array_sort(F.collect_list("key")).alias("hot"))
-    twos = F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, F.size("hot")), lambda y: F.xxhash64(x, y))))
-    double = save(hot.select("node", "label", "n", "bag", "bag2", F.explode(twos).alias("key")), "double")
-    double = double.join(_narrow(mixed(double)), "key")
-    more = verify(_alike(shared.where(F.col("count") <= PAIRS_UP_TO)).union(_alike(double)), lines)
-    return parts if more.isEmpty() else components(edges.union(more))
+        left, turn = pairs, turn + 1
+    if n:
+        others = rows.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"), F.col("label").alias("lb"))
+        more = _met(rows, others, found, hold, (F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")))
+        if not more.isEmpty():
+            parts = components(edges.union(more))
+    hold.tables.append(parts)
+    return parts
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(rid, id, removed): the numbers of the lines that go from each document that loses any, saved."""
-    lines = distinct_lines(docs, id_col, text_col, short)
-    counted = lines.where("long").drop("long") if short else lines
-    parts = closer(counted, *links(counted, fingerprints(counted)))
-    if short:
-        # Lines of few words are grouped by their form alone.
-        few = lines.where(~F.col("long")).select("node", "norm")
-        forms = few.groupBy("norm").agg(F.min("node").alias("root"), F.count("*").alias("forms")).where("forms > 1")
-        parts = parts.union(few.join(forms, "norm").select("node", "root"))
-    grouped = lines.select("node", "key", "n").join(parts, "node", "left")
-    known = save(grouped.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("key", F.coalesce("root", "node").alias("root")), "groups")
-    found = _rows(docs, id_col, text_col, short).select("id", "rid", "line", F.unhex(F.md5("raw")).alias("key"))
-    found = save(found.join(_narrow(known), "key").select("id", "rid", "line", "root"), "found")
+    hold = Scratch(docs.sparkSession)
+    found = occurrences(docs, hold, id_col, text_col, short)
+    nodes = distinct_lines(found, hold)
+    prints = fingerprints(found, nodes, hold)
+    hold.drop(found, nodes, prints)
+    parts = similar(found, prints, hold)
+    grouped = nodes.join(parts, "node", "left").where(F.col("root").isNotNull() | (F.col("times") > 1))
+    grouped = hold.save(grouped.select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "grouped")
+    hold.drop(found, grouped, parts)
+    heads = grouped.groupBy("root").agg(F.min("first").alias("head"))
+    known = hold.save(grouped.join(heads, "root").select("k1", "k2", "head"), "known")
     place = F.struct("id", "rid", "line")
-    first = save(found.groupBy("root").agg(F.min(place).alias("first")), "first")
-    gone = found.join(_narrow(first), "root").where(~place.eqNullSafe(F.col("first")))
-    return save(gone.groupBy("rid", "id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    gone = found.drop("norm").join(_narrow(known), ["k1", "k2"]).where(~place.eqNullSafe(F.col("head")))
+    out = hold.save(gone.groupBy("rid", "id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    hold.drop(out)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -272,14 +273,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short: lines of fewer than MIN_WORDS words that are alike once normalised are duplicates too.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = duplicates(docs, id_col, text_col, short).withColumnsRenamed({"rid": "_rid", "id": "_id", "removed": "_removed"})
-    size = gone.agg(F.sum(F.size("_removed") + 8)).first()[0] or 0
+    own, rid, key, removed = unused(docs, "own", "rid", "key", "removed")
+    gone = duplicates(docs, id_col, text_col, short)
+    size = gone.agg(F.sum(F.size("removed") + 8)).first()[0] or 0
+    gone = gone.withColumnsRenamed({"rid": rid, "id": key, "removed": removed})
     gone = F.broadcast(gone) if size <= 4 * NARROW_ROWS else gone
     text, lines = F.col(text_col), F.split(text_col, "\n", -1)
-    kept = F.concat_ws("\n", F.filter(lines, lambda line, i: ~F.array_contains("_removed", i)))
-    out = docs.withColumn("_own", F.xxhash64(F.col(id_col), text))
-    out = out.join(gone, (F.col("_own") == F.col("_rid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = F.concat_ws("\n", F.filter(lines, lambda line, i: ~F.array_contains(removed, i)))
+    out = docs.withColumn(own, _row_id(id_col, text_col))
+    out = out.join(gone, (F.col(own) == F.col(rid)) & F.col(id_col).eqNullSafe(F.col(key)), "left")
     return out.select(
-        *[F.when(F.col("_removed").isNull(), text).otherwise(kept).alias(c) if c == text_col else out[c] for c in docs.columns],
-        F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(removed).isNull(), text).otherwise(kept).alias(c) if c == text_col else out[c] for c in docs.columns],
+        F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
     )

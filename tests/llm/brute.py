@@ -110,11 +110,10 @@ def encoded(docs, path, end):
     return {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4") for d, x in docs}
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def alike(pairs, rows):
+    """Those of the pairs whose texts have an edit similarity of 0.8 or more."""
+    import duckdb
+    import pandas as pd
+
+    found = pd.DataFrame([(a, b, rows[a], rows[b]) for a, b in pairs], columns=["a", "b", "x", "y"])
+    return duckdb.sql("SELECT a, b FROM found WHERE 5 * abs(length(x) - length(y)) <= greatest(length(x), length(y)) AND 5 * levenshtein(x, y) <= greatest(length(x), length(y))").fetchall()

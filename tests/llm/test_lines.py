@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from cellgrid.llm import lines
+from cellgrid.llm.common import Scratch, table
 
 from . import brute
 
@@ -16,38 +17,96 @@ def near(rng, text, n):
 def texts(seed, n=15):
     rng = np.random.default_rng(seed)
     base = [" ".join(f"a{x}bc" for x in rng.integers(0, 400, int(rng.integers(6, 60)))) for _ in range(n)]
-    return base + [near(rng, base[int(i)], 1) for i in rng.integers(0, n, 30)] + [near(rng, max(base, key=len), 1) for _ in range(20)]
-
-
-@pytest.mark.parametrize("most", [3])
-def test_groups_equal_brute_force(spark, docs, monkeypatch, most):
-    monkeypatch.setattr(lines, "PAIRS_UP_TO", most)
-    found = lines.distinct_lines(docs(texts(most)))
-    rows = {r["node"]: r["norm"] for r in found.collect()}
-    prints = lines.fingerprints(found)
-    fp = {r["node"]: r["fp"] & (1 << 64) - 1 for r in prints.collect()}
-    assert fp.keys() == rows.keys()
-    pairs = []
-    for a in rows:
-        for b in rows:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 3 and 5 * brute.levenshtein(rows[a].split(), rows[b].split()) <= max(len(rows[a].split()), len(rows[b].split())):
-                pairs.append((a, b))
-    assert pairs
+    return base + [near(rng, base[int(i)], 1) for i in rng.integers(0, n, 30)] + [near(rng, max(base, key=len), 1) for _ in range(40)]
+
+
+def steps(spark, d, short=False):
+    hold = Scratch(spark)
+    found = lines.occurrences(d, hold, short=short)
+    nodes = lines.distinct_lines(found, hold)
+    return hold, found, nodes, lines.fingerprints(found, nodes, hold)
+
+
+def norms(found, nodes):
+    return {r["node"]: r["norm"] for r in nodes.select(nodes["node"].alias("p"), "node").join(found.select("p", "norm"), "p").collect()}
+
+
+@pytest.mark.parametrize("left_over", [lines.LEFT_OVER, 0])
+def test_groups_equal_brute_force(spark, docs, monkeypatch, left_over):
+    """All pairs that share a key and are near by fingerprint and edit similarity, and their components."""
+    monkeypatch.setattr(lines, "LEFT_OVER", left_over)
+    hold, found, nodes, prints = steps(spark, docs(texts(3)))
+    rows = norms(found, nodes)
+    p = {r["node"]: (r["fp"] & (1 << 64) - 1, set(r["keys"])) for r in prints.collect()}
+    assert p.keys() == rows.keys()
+    pairs = [(a, b) for a in rows for b in rows if a < b and p[a][1] & p[b][1] and (p[a][0] ^ p[b][0]).bit_count() <= lines.BITS]
+    pairs = brute.alike(pairs, rows)
+    assert max(sum(k in x[1] for x in p.values()) for _, keys in p.values() for k in keys) > 40
     want = brute.union(pairs, rows)
-    got = {r["node"]: r["root"] for r in lines.links(found, prints)[1].collect()}
+    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold).collect()}
     assert {n: got.get(n, n) for n in rows} == want
 
 
-def test_fingerprint_over_chunks(spark, docs, monkeypatch):
+def test_fingerprint_is_the_majority(spark, docs):
+    from pyspark.sql import functions as F
+
+    _, found, nodes, prints = steps(spark, docs(["a b c d e f a a", "x y z x y z q"]))
+    got = {r["node"]: r["fp"] & (1 << 64) - 1 for r in prints.collect()}
+    for node, norm in norms(found, nodes).items():
+        w = norm.split()
+        h = [r[0] for r in spark.createDataFrame(list(zip(w, [*w[1:], ""])), "w string, x string").select(F.xxhash64("w", "x")).collect()]
+        assert got[node] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(w))
+
+
+def test_fingerprint_over_parts(spark, docs, monkeypatch):
     def prints():
-        found = lines.distinct_lines(docs(texts(1)))
-        return {r["norm"]: r["fp"] for r in found.join(lines.fingerprints(found), "node").collect()}
+        _, found, nodes, got = steps(spark, docs(texts(1)))
+        at = norms(found, nodes)
+        return {at[r["node"]]: (r["fp"], r["c"], sorted(r["keys"])) for r in got.collect()}
 
     whole = prints()
     monkeypatch.setattr(lines, "CHUNK", 7)
     assert prints() == whole
 
 
+def test_recall_of_edit_similarity(spark, docs):
+    """Against brute force on edit similarity alone: at least 0.9 of the pairs of all lengths, and no other links."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9))))
+
+    def edited(text):
+        w = text.split()
+        for _ in range(int(rng.integers(1, len(w) // 6 + 2))):
+            at, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
+            w[at : at + (kind != 1)] = [] if kind == 2 else [word()]
+        return " ".join(w)
+
+    base = [" ".join(word() for _ in range(n)) for n in (6, 7, 8, 9, 10, 12, 14, 19, 24, 30, 50, 79, 82, 100, 115, 150) for _ in range(3)]
+    hold, found, nodes, prints = steps(spark, docs(base + [edited(t) for t in base for _ in range(2)]))
+    rows = norms(found, nodes)
+    pairs = brute.alike([(a, b) for a in rows for b in rows if a < b], rows)
+    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold).collect()}
+    joined = [(a, b) for a, b in pairs if a in got and got[a] == got.get(b)]
+    assert len(pairs) > 60 and len(joined) >= 0.9 * len(pairs)
+    want = brute.union(pairs, rows)
+    assert all(want[n] == want[root] for n, root in got.items())
+
+
+def test_recall_on_the_tables(spark, data):
+    """All pairs of lines of the smallest table that share two words in a row are looked at by brute force."""
+    hold, found, nodes, prints = steps(spark, table(spark, data, "documents"))
+    rows = {n: t for n, t in norms(found, nodes).items() if len(t) < 1000}
+    by = {}
+    for n, t in rows.items():
+        w = t.split()
+        for pair in set(zip(w, w[1:])):
+            by.setdefault(pair, []).append(n)
+    pairs = {(a, b) for x in by.values() if len(x) < 30 for a in x for b in x if a < b}
+    pairs = brute.alike(pairs, rows)
+    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold).collect()}
+    assert len(pairs) > 10 and sum(a in got and got[a] == got.get(b) for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_first_occurrence_stays(spark, docs):
     a, b = "the first line has quite a few words in it", "another line of words that is not like it"
     close = a + "!"
@@ -57,12 +116,30 @@ def test_first_occurrence_stays(spark, docs):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_columns_of_any_name_keep_their_values(spark, docs):
+    from pyspark.sql import functions as F
+
+    a = "the first line has quite a few words in it"
+    names = ("own", "_own", "_rid", "_id", "_removed", "removed", "_key")
+    d = docs([a, a + "\nx"]).drop("removed").select("*", *[F.lit(5).alias(c) for c in names])
+    rows = lines.dedup_lines(d).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {0: a, 1: "x"} and all(r[c] == 5 for r in rows for c in names)
+
+
+def test_repeated_rows_and_nulls(spark, docs):
+    a = "the first line has quite a few words in it"
+    d = docs([a, a, a + "\nx y", None, None, a], ids=[2, 2, 3, None, None, None])
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(d).collect()), key=repr)
+    # The null id comes first, so the line of its document stays.
+    assert got == sorted([(2, "", 1), (2, "", 1), (3, "x y", 1), (None, None, 0), (None, None, 0), (None, a, 0)], key=repr)
+
+
 def test_long_lines(spark, docs):
     rng = np.random.default_rng(5)
-    w = ["".join(chr(97 + int(x)) for x in row) for row in rng.integers(0, 26, (12_000, 5))]
+    w = ["".join(chr(97 + int(x)) for x in row) for row in rng.integers(0, 26, (4_000, 5))]
     other = w.copy()
-    other[6_000] = "changed"
-    rows = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs([" ".join(w), " ".join(other), " ".join(reversed(w))])).collect()}
+    other[2_000] = "changed"
+    rows = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs([" ".join(w), " ".join(["more", "words"] * 30 + other), " ".join(reversed(w))])).collect()}
     assert rows == {0: 0, 1: 1, 2: 0}
 
 
@@ -71,32 +148,6 @@ def test_plan_has_no_python(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_groups_equal_edit_similarity_alone(spark, docs, monkeypatch):
-    rng = np.random.default_rng(8)
-
-    def edited(text):
-        w = text.split()
-        for _ in range(int(rng.integers(1, len(w) // 5 + 2))):
-            at, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
-            w[at : at + (kind != 1)] = [] if kind == 2 else [f"w{rng.choice(list('abcdefgh'))}{rng.choice(list('abcdefgh'))}"]
-        return " ".join(w)
-
-    word = lambda: f"w{rng.choice(list('abcdefgh'))}{rng.choice(list('abcdefgh'))}"
-    base = [" ".join(word() for _ in range(n)) for n in (5, 5, 6, 7, 8, 9, 9, 10, 12, 14, 19, 24, 30, 50) for _ in range(2)]
-    base += ["a a a a a", "b a b a b a b a b a", "a a a a a a a a a b", "x y " * 30, "of the in to a"]
-    found = lines.distinct_lines(docs(base + [edited(t) for t in base for _ in range(4)]))
-    rows = {r["node"]: r["norm"].split() for r in found.collect()}
-    pairs = [(a, b) for a in rows for b in rows if a < b and 5 * brute.levenshtein(rows[a], rows[b]) <= max(len(rows[a]), len(rows[b]))]
-    want = brute.union(pairs, rows)
-    first = lines.links(found, lines.fingerprints(found))
-    by_prints = {r["node"]: r["root"] for r in first[1].collect()}
-    assert {n: by_prints.get(n, n) for n in rows} != want
-    for most in (24, 1):
-        monkeypatch.setattr(lines, "PAIRS_UP_TO", most)
-        got = {r["node"]: r["root"] for r in lines.closer(found, *first).collect()}
-        assert {n: got.get(n, n) for n in rows} == want
-
-
 def test_short_and_unspaced_lines(spark, docs):
     long = "東京都は日本の首都であり世界で最も人口の多い都市の一つです"
     d = docs(["All rights reserved.\n---\n \nLes.\n" + long, "les\nall rights reserved\n***\n \n---\n" + long.replace("最", "極"), "Les."])
