@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save
+from .common import Scratch, drop_saved, save
+
+#: Leaders are taken while more pairs than this for each row are left, and each halves them.
+LEFT_OVER = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,3 +45,51 @@ def components(edges: DataFrame) -> DataFrame:
             out._saved_path = now._saved_path
             return out
         state = found
+
+
+def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFrame], hold: Scratch, left_over: int | None = None) -> DataFrame:
+    """(node, root) of the components of all verified pairs of nodes that share a key.
+
+    rows: (key, node, further columns) of the keys that several nodes have,
+    saved.  near: what a pair has to meet, of the columns and those of the
+    other node, which end in _b.  verify: gives the true ones of pairs (a, b),
+    saved.
+
+    All nodes of a key are compared with one leader, which makes as many pairs
+    as there are rows; keys whose nodes are then in one group need nothing
+    more.  While many pairs of different groups are left, another leader is
+    taken; the rest is compared in full, so no link is lost.
+    """
+    left_over = LEFT_OVER if left_over is None else left_over
+    columns = [c for c in rows.columns if c != "key"]
+    rows, edges, left, turn = rows.withColumn("label", F.col("node")), None, None, 0
+
+    def meet(others: DataFrame, condition: Column) -> DataFrame:
+        pairs = rows.join(others, (F.col("key") == F.col("key_b")) & condition & near)
+        return verify(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
+
+    while True:
+        order = F.xxhash64("node", F.lit(turn))
+        leaders = rows.groupBy(F.col("key").alias("key_b")).agg(*[F.min_by(c, order).alias(f"{c}_b") for c in (*columns, "label")])
+        more = meet(leaders, F.col("label") != F.col("label_b"))
+        edges = hold.save(edges.union(more), "edges") if edges is not None else more
+        parts = components(edges)
+        hold.tables.append(parts)
+        labelled = rows.drop("label").join(parts, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = hold.save(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
+        rows = hold.save(labelled.join(mixed, "key"), "mixed")
+        drop_saved(labelled)
+        groups = rows.groupBy("key", "label").count()
+        totals = groups.groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"), F.sum("count").alias("n"))
+        pairs, n = totals.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if pairs <= left_over * n or left is not None and pairs * 2 > left:
+            break
+        left, turn = pairs, turn + 1
+    if n:
+        others = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
+        more = meet(others, (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")))
+        if not more.isEmpty():
+            parts = components(edges.union(more))
+            hold.tables.append(parts)
+    return parts

@@ -1,139 +1,166 @@
-"""Benchmark decontamination by a positional inverted index (native DataFrame plan).
-
-The training side is stored once as rows of normalised words.  Postings
-(term, row, position) are laid out from it for the terms that the test items
-need.  For each window of an item the rarest term, by its posting count over
-the whole corpus, is its anchor; the anchor's posting list is intersected
-with those of the neighbouring terms at adjusted offsets, and the run of equal
-terms around the anchor decides exactly which windows occur.
-
-Defined cases: null or wordless texts have no words and no hits; repeated rows
-give one result row each; items with a null item_id or no words never occur;
-repeated items count once per item_id; other columns are ignored.
+"""Benchmark decontamination by a distributed positional inverted index (native DataFrame plan).
+
+The postings (term, id, h, pos) of the training words that test items have are
+stored once; h, the hash of the text, and the id stand for a row.  Everything
+after reads postings alone.  For each window of an item the two rarest terms,
+by their posting counts over the corpus, lead: the rarest one's list and the
+next one's are intersected at adjusted offsets (pos - q, q being the place in
+the item), and what both give is joined with the postings of all the item's
+terms in the rows found.  Runs of matching places long enough for a window are
+the exact occurrences.
+
+The join on (term) is made from the few leading terms' side; lists of frequent
+terms lie in many partitions, in the order of the rows, so none is in one
+task.  No array of words is moved: rows of the index are numbers.
+
+Defined cases: null or wordless texts have no words and no hits; rows of equal
+id and text have one result each, the same; items with a null item_id or no
+words never occur; repeated items count once per item_id; ties between terms
+are ordered by their place; texts of any length are indexed whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small, words_of
+from .common import Scratch, at_once, small, unused, words_of
 
 WINDOW = 13
+#: The term number of a row's length: one posting a row, at the place after its last word.
+LENGTH = 0
 
 
-def store_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Table (rid, id, words): the forward side that postings are laid out from. keep: further columns.
+def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Distinct items (item, words) that have a word."""
+    out = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words"))
+    return out.where(F.col("item").isNotNull() & (F.size("words") > 0)).distinct()
 
-    The words are stored as an array, as a split in the plan would be done
-    again for each posting.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"), *(keep or []))
-    return save(rows.withColumn("rid", F.monotonically_increasing_id()), "words")
 
+def number_terms(places: DataFrame, hold: Scratch) -> DataFrame:
+    """(word, term): a number from 1 for each distinct word of the column `word`, saved; the empty word is LENGTH."""
+    words = places.select("word").where("word <> ''").distinct()
+    numbers = words.select("word", (F.monotonically_increasing_id() + 1).alias("term"))
+    return hold.save(numbers.union(places.sparkSession.createDataFrame([("", LENGTH)], "word string, term long")), "terms")
 
-def postings(stored: DataFrame, terms: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
-    """Postings (term, rid, pos) and the row's words, for the given terms or for all."""
-    out = stored.select("rid", "words", F.posexplode("words").alias("pos", "term"))
-    return out if terms is None else out.join(small(terms, n_terms), "term")
 
+def postings(docs: DataFrame, terms: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, id, h, pos) of the given words in docs, and a posting of LENGTH for each row; saved."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), at_once(F.xxhash64(text)).alias("h"), F.array_append(words_of(text), "").alias("words"))
+    each = rows.select("id", "h", F.posexplode("words").alias("pos", "word"))
+    return hold.save(each.join(small(terms, terms.count()), "word").select("term", "id", "h", "pos"), "postings", "zstd")
 
-def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct items (item, words) that have a word."""
-    out = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words"))
-    return out.where(F.col("item").isNotNull() & (F.size("words") > 0)).distinct()
 
+def item_places(items: DataFrame, terms: DataFrame, hold: Scratch) -> DataFrame:
+    """(item, entry, m, q, term) of each place q of each item, saved; entry tells texts of one item apart."""
+    each = items.select("item", F.xxhash64("words").alias("entry"), F.size("words").alias("m"), F.posexplode("words").alias("q", "word"))
+    return hold.save(each.join(small(terms, terms.count()), "word").drop("word"), "places")
 
-def anchors(stored: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """The rarest position of each window of each item, with up to window-1 terms on either side."""
-    places = items.select("item", "words", F.posexplode("words").alias("q", "term"))
-    terms = save(places.select("term").distinct(), "terms")
+
+def leaders(places: DataFrame, counts: DataFrame, n_terms: int, window: int) -> DataFrame:
+    """(item, entry, m, q, term, q2, term2): the places of the two rarest terms of each window; the second is null in windows of one word."""
+    need = F.least(F.lit(window), F.col("m"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("q") - window + 1), F.least(F.col("q"), F.greatest(F.lit(0), F.col("m") - window)))
+    each = places.join(small(counts, n_terms), "term").withColumn("start", F.explode(starts))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("count", "q", "term"))), 1, 2)  # at most `window` places
+    found = each.groupBy("item", "entry", "m", "start").agg(rarest.alias("r"), F.count("*").alias("found"))
+    # A term that the corpus lacks rules its windows out.
+    found = found.where(F.col("found") == need)
+    return found.select("item", "entry", "m", F.col("r")[0]["q"].alias("q"), F.col("r")[0]["term"].alias("term"), F.get("r", F.lit(1))["q"].alias("q2"), F.get("r", F.lit(1))["term"].alias("term2")).distinct()
+
+
+def _same_row(a: str = "", b: str = "_b") -> Column:
+    return F.col(f"id{a}").eqNullSafe(F.col(f"id{b}")) & (F.col(f"h{a}") == F.col(f"h{b}"))
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, terms: DataFrame, hold: Scratch, window: int = WINDOW) -> DataFrame:
+    """Stretches (id, h, item, lo, hi, item_lo) that occurring windows cover, saved."""
     n_terms = terms.count()
-    counts = save(postings(stored, terms, n_terms).groupBy("term").count(), "counts")
-    m = F.size("words")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("q") - window + 1), F.least(F.col("q"), F.greatest(F.lit(0), m - window)))
-    ranked = (
-        places.join(small(counts, n_terms), "term")
-        .select("item", "words", "q", "term", "count", F.explode(starts).alias("start"))
-        .groupBy("item", "words", "start")
-        .agg(F.min(F.struct("count", "q", "term")).alias("best"), F.count("*").alias("found"))
-        .where(F.col("found") == F.least(F.lit(window), m))  # a term that the corpus lacks rules its windows out
-        .select("item", "words", F.col("best.q").alias("q"), F.col("best.term").alias("term"))
-        .distinct()
-    )
-    q = F.col("q")
-    before = F.slice("words", F.greatest(F.lit(1), q - window + 2), F.least(q, F.lit(window - 1)))
-    out = ranked.select(
-        "item", "q", "term", m.alias("m"),
-        F.get("words", q - 1).alias("before_1"), F.get("words", q + 1).alias("after_1"),
-        F.reverse(before).alias("before"),
-        F.slice("words", q + 2, F.lit(window - 1)).alias("after"),
-    )
-    out = save(out, "anchors")
-    return out, out.count()
-
-
-def _run(a: Column, b: Column) -> Column:
-    """Number of leading places where two arrays agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
-
-
-def phrase_matches(stored: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Maximal stretches (rid, item, lo, hi, item_lo) around anchors that are covered by occurring windows."""
-    keys, n = anchors(stored, items, window)
-    near = postings(stored, keys, n).where(
-        (F.col("m") == 1) | (F.get("words", F.col("pos") + 1) == F.col("after_1")) | (F.get("words", F.col("pos") - 1) == F.col("before_1"))
-    )
-    pos = F.col("pos")
-    left = F.reverse(F.slice("words", F.greatest(F.lit(1), pos - window + 2), F.least(pos, F.lit(window - 1))))
-    right = F.slice("words", pos + 2, F.lit(window - 1))
-    # Written out here: the run's lambdas inside the join's condition would keep the join from being compiled.
-    near = save(near.select("rid", "item", "pos", "q", "m", "before", "after", left.alias("left"), right.alias("right")), "near")
-    runs = near.select("rid", "item", "pos", "q", "m", _run(F.col("left"), F.col("before")).alias("l"), _run(F.col("right"), F.col("after")).alias("r"))
-    whole = F.when(F.col("m") >= window, F.col("l") + F.col("r") + 1 >= window).otherwise((F.col("l") == F.col("q")) & (F.col("r") == F.col("m") - 1 - F.col("q")))
-    return runs.where(whole).select("rid", "item", (pos - F.col("l")).alias("lo"), (pos + F.col("r")).alias("hi"), (F.col("q") - F.col("l")).alias("item_lo"))
-
-
-def proximity_matches(stored: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """Rows and spans (rid, lo, hi) where all the given terms stand in a span of at most `within` words.
-
-    Postings of the rarest term lead; each is checked for the others nearby.
+    places = item_places(items, terms, hold)
+    counts = hold.save(index.where(F.col("term") != LENGTH).groupBy("term").count(), "counts")
+    lead = hold.save(leaders(places, counts, n_terms, window), "leaders")
+    needed = hold.save(lead.select("term").union(lead.select("term2")).where("term IS NOT NULL").distinct(), "needed")
+    lists = hold.save(index.join(small(needed, n_terms), "term"), "lists")
+    n_lead = lead.count()
+
+    # The rarest lists at the offsets of their items, met by the next ones.
+    first = lists.join(small(lead, n_lead), "term").select("id", "h", "item", "entry", "m", "q2", "term2", (F.col("pos") - F.col("q")).alias("at"))
+    second = lists.select(F.col("term").alias("term_b"), F.col("id").alias("id_b"), F.col("h").alias("h_b"), F.col("pos").alias("pos_b"))
+    both = first.where("term2 IS NOT NULL").join(second, (F.col("term2") == F.col("term_b")) & _same_row() & (F.col("at") + F.col("q2") == F.col("pos_b")))
+    diagonals = both.select("id", "h", "item", "entry", "m", "at").union(first.where("term2 IS NULL").select("id", "h", "item", "entry", "m", "at"))
+    diagonals = hold.save(diagonals.distinct(), "diagonals")
+
+    # All terms of the items found, in the rows found.
+    rows = hold.save(diagonals.select(F.col("id").alias("id_b"), F.col("h").alias("h_b")).distinct(), "rows")
+    near = hold.save(index.join(small(rows, rows.count()), _same_row(), "left_semi"), "near")
+    expected = diagonals.join(small(places.drop("m"), places.count()), ["item", "entry"]).withColumn("pos", F.col("at") + F.col("q"))
+    near = near.select(F.col("term").alias("term_b"), F.col("id").alias("id_b"), F.col("h").alias("h_b"), F.col("pos").alias("pos_b")).distinct()
+    equal = expected.join(near, (F.col("term") == F.col("term_b")) & _same_row() & (F.col("pos") == F.col("pos_b")))
+    run = F.col("q") - F.row_number().over(Window.partitionBy("id", "h", "item", "entry", "at").orderBy("q"))
+    runs = equal.select("id", "h", "item", "entry", "m", "at", "q", run.alias("run")).groupBy("id", "h", "item", "entry", "m", "at", "run")
+    runs = runs.agg(F.min("q").alias("item_lo"), F.max("q").alias("item_hi"), F.count("*").alias("n")).where(F.col("n") >= F.least(F.lit(window), F.col("m")))
+    out = hold.save(runs.select("id", "h", "item", (F.col("at") + F.col("item_lo")).alias("lo"), (F.col("at") + F.col("item_hi")).alias("hi"), "item_lo"), "matches")
+    return out
+
+
+def proximity_matches(docs: DataFrame, terms: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows and spans (id, h, lo, hi) that hold all the given terms, start and end in one of them, are at most `within` words long and hold no such span but their own.
+
+    For each posting of one of the terms the nearest one before it of each
+    other term is kept by a running window over the row's postings.
     """
+    hold = Scratch(docs.sparkSession)
     terms = list(dict.fromkeys(terms))
-    wanted = stored.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    found = postings(stored, wanted, len(terms))
-    counted = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}  # at most one row a given term
-    if len(counted) < len(terms):
-        return stored.select("rid", F.lit(0).alias("lo"), F.lit(0).alias("hi")).where(F.lit(False))
-    rarest = min(terms, key=lambda t: (counted[t], t))
-    spans = found.where(F.col("term") == rarest).select("rid", "words", "pos", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - within + 1), F.col("pos"))).alias("lo"))
-    near = F.slice("words", F.col("lo") + 1, F.lit(within))
-    last = F.array_max(F.array(*[F.array_position(near, F.lit(t)) for t in terms], F.lit(0)))
-    full = spans.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(near, t)))
-    first = full.where(F.get("words", F.col("lo")).isin(terms))
-    return first.select("rid", "lo", (F.col("lo") + last - 1).cast("int").alias("hi")).distinct()
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, n_words, n_hit, items (sorted ids as strings), contaminated, and the kept columns."""
-    stored = store_words(docs, id_col, text_col, keep)
-    hits = phrase_matches(stored, item_words(items), window)
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("lo", "hi"))),
-        F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda s, x: F.struct(
-            F.greatest(s["end"], x["hi"]).alias("end"),
-            (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"] + 1, x["lo"]) + 1)).cast("long").alias("n"),
-        ),
-        lambda s: s["n"],
-    )
-    found = hits.groupBy("rid").agg(merged.alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    out = stored.select("rid", "id", F.size("words").cast("long").alias("n_words"), *(keep or [])).join(found, "rid", "left")
+    wanted = number_terms(docs.sparkSession.createDataFrame([(t,) for t in terms], "word string"), hold)
+    numbers = {r["word"]: r["term"] for r in wanted.collect()}  # the given terms
+    index = postings(docs, wanted, hold, id_col, text_col).where(F.col("term") != LENGTH)
+    so_far = Window.partitionBy("id", "h").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("term") == numbers[t], F.col("pos"))).over(so_far) for t in terms]
+    spans = index.distinct().select("id", "h", "pos", F.array(*last).alias("last"))
+    spans = spans.where(~F.exists("last", lambda x: x.isNull())).select("id", "h", F.array_min("last").alias("lo"), F.col("pos").alias("hi"))
+    shortest = spans.groupBy("id", "h", "lo").agg(F.min("hi").alias("hi"))
+    out = hold.save(shortest.where(F.col("hi") - F.col("lo") < within), "spans")
+    hold.drop(out)
+    return out
+
+
+def _hits(docs: DataFrame, items: DataFrame, hold: Scratch, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n_words) of every row, and (id, h, n_hit, items) of the rows with hits, saved."""
+    wanted = hold.save(item_words(items), "items")
+    terms = number_terms(wanted.select(F.explode("words").alias("word")), hold)
+    index = postings(docs, terms, hold, id_col, text_col)
+    rows = hold.save(index.where(F.col("term") == LENGTH).select("id", "h", F.col("pos").cast("long").alias("n_words")), "lengths")
+    matches = phrase_matches(index, wanted, terms, hold, window)
+    covered = matches.select("id", "h", F.explode(F.sequence("lo", "hi")).alias("pos")).distinct().groupBy("id", "h").agg(F.count("*").alias("n_hit"))
+    named = matches.select("id", "h", F.col("item").cast("string").alias("item")).distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = named.withColumnsRenamed({"id": "id_b", "h": "h_b"})
+    found = hold.save(covered.join(named, _same_row()).select("id", "h", "n_hit", "items"), "hits")
+    hold.drop(rows, found)
+    return rows, found
+
+
+def _judged(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(id, h, n_words, n_hit, items, contaminated) of every row."""
+    found = found.withColumnsRenamed({"id": "id_b", "h": "h_b"})
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (n_hit * 100 >= percent * F.col("n_words"))).alias("contaminated"), *(keep or []),
-    )
+    out = rows.join(small(found, found.count()), _same_row(), "left")
+    return out.select("id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * 100 >= percent * F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_words, n_hit, items (sorted ids as strings), contaminated."""
+    rows, found = _hits(docs, items, Scratch(docs.sparkSession), window, id_col, text_col)
+    return _judged(rows, found, percent).drop("h").withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less the contaminated rows, with all their columns."""
+    hold = Scratch(docs.sparkSession)
+    rows, found = _hits(docs, items, hold, window, id_col, text_col)
+    gone = hold.save(_judged(rows, found, percent).where("contaminated").select("id", "h").distinct(), "gone")
+    hold.drop(gone)
+    key, h = unused(docs, "key", "h")
+    gone = small(gone.withColumnsRenamed({"id": key, "h": h}), gone.count())
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(h)), "left_anti")

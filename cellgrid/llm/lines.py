@@ -19,11 +19,7 @@ similarity of the normalised lines, 1 - levenshtein / longer length >= 0.8, in
 characters.  Of each connected group the first occurrence, by document id and
 line number, is kept.
 
-Nodes that share a block are not paired with each other.  All are compared
-with one leader of the block, which makes as many pairs as there are rows;
-blocks whose nodes are all in one group then need nothing more.  While very
-many pairs of different groups are left, another leader is taken; the rest is
-compared in full, so no link is lost.
+Nodes that share a block are compared with leaders first; see linked().
 
 Defined cases: null or empty texts stay as they are; blank lines are kept;
 lines of fewer than MIN_WORDS words are kept, or with `short` grouped by their
@@ -41,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, Scratch, at_once, drop_saved, unused
-from .components import components
+from .components import linked
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Lines whose fingerprints differ in more bits are not compared.
@@ -54,8 +50,6 @@ WORD_BLOCKS = ((16, 80, None), (8, 24, 110), (4, 0, 32))
 BLOCK_WORDS, PAIRED = 3, 16
 #: Words whose sums one row holds: fields of 16 bits, block sums of 40 bits and counts of 11.
 CHUNK = 2_000
-#: Leaders are taken while more pairs than this for each row are left, and each halves them.
-LEFT_OVER = 16
 #: Rows of a few numbers each that may be broadcast, when counted.
 NARROW_ROWS = 1_000_000
 
@@ -91,8 +85,8 @@ def occurrences(docs: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col
 
 
 def distinct_lines(found: DataFrame, hold: Scratch) -> DataFrame:
-    """(k1, k2, node, n, first, times) of each normalised line, saved: node is the p of one occurrence, first the least (id, rid, line)."""
-    nodes = found.groupBy("k1", "k2").agg(F.min("p").alias("node"), F.min("n").alias("n"), F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("times"))
+    """(k1, k2, node, n, c, first, times) of each normalised line, saved: node is the p of one occurrence, first the least (id, rid, line)."""
+    nodes = found.groupBy("k1", "k2").agg(F.min("p").alias("node"), F.min("n").alias("n"), F.min("c").alias("c"), F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("times"))
     return hold.save(nodes, "nodes")
 
 
@@ -143,9 +137,9 @@ def fingerprints(found: DataFrame, nodes: DataFrame, hold: Scratch) -> DataFrame
     """(node, fp, c, keys) of the nodes of MIN_WORDS words or more, saved; c: characters of the normalised line."""
     longest = nodes.agg(F.max("n")).first()[0] or 0
     some = found.where(F.col("n") >= MIN_WORDS)
-    one = _word_sums(_words(some.where(F.col("n") <= CHUNK), "k1", "k2", "p", "c"), "k1", "k2", "p", "c")
+    one = _word_sums(_words(some.where(F.col("n") <= CHUNK), "k1", "k2", "p"), "k1", "k2", "p")
     # The aggregate is dealt out by these columns already, so the wide rows are not moved again.
-    one = one.join(nodes.select("k1", "k2", F.col("node").alias("p")), ["k1", "k2", "p"])
+    one = one.join(nodes.select("k1", "k2", F.col("node").alias("p"), "c"), ["k1", "k2", "p"])
     counts = [F.shiftrightunsigned(f"b{k}", _COUNT_AT) for k in range(16)]
     sums = [F.col(f"b{k}").bitwiseAND(F.lit((1 << _COUNT_AT) - 1)) for k in range(16)]
     out = one.select(F.col("p").alias("node"), "n", "c", _fingerprint(F.col("n"), [F.col(f"s{k}") for k in range(16)]).alias("fp"), F.array(*counts).alias("counts"), F.array(*sums).alias("sums"))
@@ -205,46 +199,15 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch) -> DataFrame:
     return out
 
 
-def _met(rows: DataFrame, others: DataFrame, found: DataFrame, hold: Scratch, condition: Column) -> DataFrame:
-    """Verified pairs of rows and others (kb, b, fb, cb, lb) of one key whose fingerprints and lengths allow the similarity."""
-    longer, shorter = F.greatest("c", "cb"), F.least("c", "cb")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= BITS) & (shorter >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9))
-    pairs = rows.join(others, (F.col("key") == F.col("kb")) & condition & near)
-    return verify(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")), found, hold)
-
-
-def similar(found: DataFrame, prints: DataFrame, hold: Scratch) -> DataFrame:
+def similar(found: DataFrame, prints: DataFrame, hold: Scratch, left_over: int | None = None) -> DataFrame:
     """(node, root) of the components of all similar nodes that share a key."""
     keyed = prints.select("node", "fp", "c", F.explode("keys").alias("key"))
     sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
-    rows = hold.save(keyed.join(_narrow(sizes), "key").withColumn("label", F.col("node")), "shared")
+    rows = hold.save(keyed.join(_narrow(sizes), "key"), "shared")
     drop_saved(sizes)
-    edges, parts, left, turn = None, None, None, 0
-    while True:
-        order = F.xxhash64("node", F.lit(turn))
-        leader = [F.min_by(c, order).alias(name) for c, name in (("node", "b"), ("fp", "fb"), ("c", "cb"), ("label", "lb"))]
-        more = _met(rows, rows.groupBy(F.col("key").alias("kb")).agg(*leader), found, hold, F.col("label") != F.col("lb"))
-        edges = hold.save(edges.union(more), "edges") if edges is not None else more
-        parts = components(edges)
-        labelled = rows.drop("label").join(parts, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        labelled = hold.save(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
-        drop_saved(rows)
-        rows = hold.save(labelled.join(mixed, "key"), "mixed")
-        drop_saved(labelled)
-        groups = rows.groupBy("key", "label").count()
-        totals = groups.groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", 2))).alias("pairs"), F.sum("count").alias("n"))
-        pairs, n = totals.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= LEFT_OVER * n or left is not None and pairs * 2 > left:
-            break
-        left, turn = pairs, turn + 1
-    if n:
-        others = rows.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"), F.col("label").alias("lb"))
-        more = _met(rows, others, found, hold, (F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")))
-        if not more.isEmpty():
-            parts = components(edges.union(more))
-    hold.tables.append(parts)
-    return parts
+    longer, shorter = F.greatest("c", "c_b"), F.least("c", "c_b")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (shorter >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9))
+    return linked(rows, near, lambda pairs: verify(pairs, found, hold), hold, left_over)
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:

@@ -28,11 +28,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
-from .components import components
+from .common import Scratch, drop_saved, save, small, unused
+from .components import components, linked
 
 #: Bits of the three segments, low ones first.
 SEGMENTS = (22, 21, 21)
@@ -158,35 +158,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
 
 #: Jaccard similarity of the shingles from which near_copies() links.
 JACCARD = 0.8
-#: Members of a crowded key with which its others are compared first, and how often that is done.
-LEADERS, ROUNDS = 4, 2
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of rows of texts (row, text binary) whose shingle sets have a similarity of JACCARD, saved."""
+def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bool, shingle: int, hold: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes at places (node, node_id, node_h) of rows (id, h, text binary) whose shingle sets have a similarity of JACCARD, saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
-
-    pairs = save(pairs.distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = save(texts.join(involved, "row", "left_semi").mapInArrow(run, "row long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    pairs = hold.save(pairs.distinct(), "pairs")
+    involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(places, "node"), "involved")
+    texts = rows.join(small(involved, involved.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("node", "text")
+    texts = texts.dropDuplicates(["node"]) if repeated else texts
+    sets = hold.save(texts.mapInArrow(run, "node long, set array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     met, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return save(both.where(met >= total * (JACCARD / (1 + JACCARD)) - 1e-9).select("a", "b"), "verified")
+    out = hold.save(both.where(met >= total * (JACCARD / (1 + JACCARD)) - 1e-9).select("a", "b"), "verified")
+    drop_saved(pairs, involved, sets)
+    return out
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less all but the first, by id, of each group of near copies; saved on the way.
+def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", left_over: int | None = None) -> DataFrame:
+    """docs less all but the first, by id, of each group of near copies.
 
     Texts are linked if their sets of five-word shingles have a Jaccard
     similarity of JACCARD.  All such pairs are found: they share one of the
     first n - ceil(JACCARD n) + 1 of their n shingles in the order of the
-    hashes (prefix filter), and each is verified by the sets.  A key of many
-    texts is compared with a few leaders first; only pairs that are then in
-    different groups are compared beyond.
+    hashes (prefix filter), and each is verified by the sets.  Texts of equal
+    sets are one node; nodes of a key are compared with leaders first, see
+    linked().
+
+    Defined cases: null, empty and wordless texts have one and the same empty
+    set, so the first of them stays; a null id comes first; rows of equal id
+    and text are copies of which one stays; texts of any length are compared
+    whole; an empty table gives no rows; other columns are kept whatever their
+    names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,40 +203,36 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
             sizes = np.array([len(x) for x in sets], np.int32)
             starts = [x[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1].view(np.int64) for x in sets]
             whole = [md5(x.tobytes()).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(starts, pa.list_(pa.int64()))], names=["row", "id", "whole", "n", "prefix"])
-
-    kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = kept.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sets = save(rows.mapInArrow(run, f"row long, id {docs.schema[id_col].dataType.simpleString()}, whole binary, n int, prefix array<long>"), "prefixes")
-    # Texts of equal sets are one node, the least of their rows.
-    nodes = save(sets.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
-    first = sets.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    keyed = first.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("at", "key"))
-    crowd = save(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "sizes")
-    shared = save(keyed.join(crowd, "key"), "shared")
-
-    def alike(x: DataFrame, y: DataFrame, differ: str) -> DataFrame:
-        """Pairs of rows that share a key, whose sizes and places allow the similarity."""
-        x, y = (d.select(F.col("key").alias(f"key_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c not in ("key", "count")]) for d, s in ((x, "x"), (y, "y")))
-        need = (F.col("n_x") + F.col("n_y")) * (JACCARD / (1 + JACCARD)) - 1e-9
-        left = F.least(F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")), "n_x", "n_y")
-        met = x.join(y, (F.col("key_x") == F.col("key_y")) & F.expr(differ) & (left >= need))
-        return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-
-    few, hot = shared.where(F.col("count") <= PAIRS_UP_TO), shared.where(F.col("count") > PAIRS_UP_TO)
-    edges = _verified(alike(few, few, "node_x < node_y"), rows.select("row", "text"), shingle)
-    if not hot.isEmpty():
-        for turn in range(ROUNDS):
-            order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            leaders = save(hot.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
-            edges = edges.union(_verified(alike(hot, leaders, "node_x <> node_y"), rows.select("row", "text"), shingle))
-        labelled = save(hot.join(components(edges), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("label")), "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
-        labelled = save(labelled.join(mixed, "key", "left_semi"), "mixed")
-        edges = edges.union(_verified(alike(labelled, labelled, "node_x < node_y AND label_x <> label_y"), rows.select("row", "text"), shingle))
-    parts = components(edges)
-    rooted = nodes.join(parts, "node", "left").select("whole", F.coalesce("root", "node").alias("root"))
-    grouped = save(sets.select("row", "id", "whole").join(rooted, "whole").select("row", "id", "root"), "grouped")
-    best = save(grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best"), "best")
-    gone = save(grouped.join(best, "root").where(F.col("row") != F.col("best.row")).select(F.col("row").alias("_row")), "gone")
-    return kept.join(small(gone, gone.count()), "_row", "left_anti").drop("_row")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(starts, pa.list_(pa.int64()))], names=["id", "h", "whole", "n", "prefix"])
+
+    hold = Scratch(docs.sparkSession)
+    # A row is known by its id and the hash of its text.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    sets = hold.save(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, h long, whole binary, n int, prefix array<long>"), "prefixes")
+    least = sets.groupBy("whole").agg(F.min(F.struct("id", "h")).alias("best"), F.count("*").alias("rows"))
+    nodes = hold.save(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = sets.join(nodes.select("whole", "best", "node"), "whole").where(F.struct("id", "h").eqNullSafe(F.col("best")))
+    keyed = hold.save(own.select("node", "n", F.posexplode("prefix").alias("at", "key")).dropDuplicates(["node", "key"]), "keyed")
+    sizes = keyed.groupBy("key").count().where("count > 1").select("key")
+    shared = hold.save(keyed.join(sizes, "key"), "shared")
+    hold.drop(sets, nodes, shared)
+    need = (F.col("n") + F.col("n_b")) * (JACCARD / (1 + JACCARD)) - 1e-9
+    near = F.least(F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), "n", "n_b") >= need
+    place = nodes.select(F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"), "node")
+    again = _repeated(sets)
+    places = nodes.select("node", F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"))
+    parts = linked(shared, near, lambda pairs: _verified(pairs, places, rows, again, shingle, hold), hold, left_over)
+    grouped = nodes.join(parts, "node", "left").select("whole", "best", "rows", F.coalesce("root", "node").alias("root"))
+    heads = grouped.groupBy("root").agg(F.min("best").alias("head"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "head")
+    several = hold.save(grouped.join(heads, "root").select("whole", "head"), "several")
+    gone = sets.select("id", "h", "whole").join(several, "whole").where(~F.struct("id", "h").eqNullSafe(F.col("head")))
+    gone = hold.save(gone.select("id", "h").distinct(), "gone")
+    hold.drop(gone)
+    key, h = unused(docs, "key", "h")
+    out = docs.join(small(gone.withColumnsRenamed({"id": key, "h": h}), gone.count()), F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(h)), "left_anti")
+    return out.dropDuplicates([id_col, text_col]) if again else out
+
+
+def _repeated(sets: DataFrame) -> bool:
+    """Whether rows of equal id and text occur."""
+    return not sets.groupBy("id", "h").count().where("count > 1").isEmpty()

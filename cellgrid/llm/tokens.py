@@ -10,14 +10,24 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Separators that the tokenizer's own pattern and Python's take differently; texts with one go through whole.
-_UNLIKE = re.compile(r"[\x1c-\x1f\x85]")
-#: Parts of words whose ids a worker keeps; beyond that the store starts afresh.  Only speed depends on it.
-KNOWN_PARTS = 300_000
+_UNLIKE = b"\x1c\x1d\x1e\x1f\x85"
+#: What texts may have beside Latin-1 to be cut here: quotes, dashes and other signs that no rule changes.
+_SIGNS = re.compile("[\u2010-\u2027\u2030-\u205e\u20ac]")
+#: Parts of words whose ids a worker keeps: as many new ones, and those used lately.  Only speed depends on it.
+KNOWN_PARTS = 400_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class WordRules:
@@ -39,30 +49,37 @@ class WordRules:
         return re.compile(self.pattern.replace(r"\p{L}", kind("L")).replace(r"\p{N}", kind("N")))
 
 
-def is_latin(text: str) -> bool:
-    """Whether all characters are of Latin-1: none of these changes under NFC or depends on others when lower-cased."""
+def is_plain(text: str) -> bool:
+    """Whether all characters are of Latin-1 or among a few signs: none of these changes under NFC or depends on others when lower-cased."""
     try:
-        text.encode("latin-1")
+        data = text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        try:
+            data = _SIGNS.sub("", text).encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return len(data.translate(None, _UNLIKE)) == len(data)
 
 
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
     Where the file's rules and the text allow, each distinct part that the
-    tokenizer's own pattern cuts is encoded once.
+    tokenizer's own pattern cuts is given to its model once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {s[0] for s in self.special if s}
         rules = WordRules(path)
         self.cut = rules.latin_pattern().findall if rules.holds else None
+        self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
@@ -71,18 +88,26 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def part(self, word: str) -> bytes:
+        """The ids of a part, in the letters of the model's vocabulary."""
+        written = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if not self.cut or _UNLIKE.search(text) or not is_latin(text) or any(s in text for s in self.special):
+        marked = any(m in text for m in self.marks) and any(s in text for s in self.special)
+        if not self.cut or marked or not is_plain(text):
             return self.whole([text])[0]
-        parts = self.cut(text.lower())
+        cut = self.cut(text.lower())
+        known = self.parts
         try:
-            return b"".join(map(self.parts.__getitem__, parts))
+            return b"".join(map(known.__getitem__, cut))
         except KeyError:
-            if len(self.parts) > KNOWN_PARTS:
-                self.parts.clear()
-            new = list({p for p in parts if p not in self.parts})
-            self.parts.update(zip(new, self.whole(new)))
-            return b"".join(map(self.parts.__getitem__, parts))
+            for word in set(cut).difference(known):
+                known[word] = self.before.get(word) or self.part(word)
+            out = b"".join(map(known.__getitem__, cut))
+            if len(known) > KNOWN_PARTS:
+                self.before, self.parts = known, {}
+            return out
 
 
 @lru_cache(maxsize=2)

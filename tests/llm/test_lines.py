@@ -31,10 +31,9 @@ def norms(found, nodes):
     return {r["node"]: r["norm"] for r in nodes.select(nodes["node"].alias("p"), "node").join(found.select("p", "norm"), "p").collect()}
 
 
-@pytest.mark.parametrize("left_over", [lines.LEFT_OVER, 0])
-def test_groups_equal_brute_force(spark, docs, monkeypatch, left_over):
+@pytest.mark.parametrize("left_over", [None, 0])
+def test_groups_equal_brute_force(spark, docs, left_over):
     """All pairs that share a key and are near by fingerprint and edit similarity, and their components."""
-    monkeypatch.setattr(lines, "LEFT_OVER", left_over)
     hold, found, nodes, prints = steps(spark, docs(texts(3)))
     rows = norms(found, nodes)
     p = {r["node"]: (r["fp"] & (1 << 64) - 1, set(r["keys"])) for r in prints.collect()}
@@ -43,7 +42,7 @@ def test_groups_equal_brute_force(spark, docs, monkeypatch, left_over):
     pairs = brute.alike(pairs, rows)
     assert max(sum(k in x[1] for x in p.values()) for _, keys in p.values() for k in keys) > 40
     want = brute.union(pairs, rows)
-    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold).collect()}
+    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold, left_over).collect()}
     assert {n: got.get(n, n) for n in rows} == want
 
 
