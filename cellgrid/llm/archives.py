@@ -10,8 +10,9 @@ payloads of at least MIN_REVISIT bytes the one with the greatest key is the
 response; the others are revisits that refer to it.
 
 Archives are gzip files of one member a record, in files of at most about
-FILE_BYTES; each conversion task reads one file.  What a lost attempt leaves
-is not in the manifest and never read.
+FILE_BYTES; each conversion task reads about one file, and the digests found
+when the records were indexed are not computed again.  What a lost attempt
+leaves is not in the manifest and never read.
 
 Defined cases: null payloads are empty; a null url is "unknown:"; null keys
 sort first; equal keys are ordered by their place in the archives; an empty
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, save
+from .common import drop_saved, new_path, save
 from .files import create, open_stream
 
 MIN_REVISIT = 1000
@@ -228,73 +229,76 @@ def warc_date(stamp: str) -> str:
     return datetime.strptime(filled, "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _listed(manifest: DataFrame) -> tuple[list[str], DataFrame]:
-    """The files, and their numbers with one in each partition."""
-    paths = [r["path"] for r in manifest.select("path").orderBy("path").collect()]  # a row for each archive file
-    return paths, manifest.sparkSession.range(0, len(paths), 1, max(1, len(paths)))
+def _files(manifest: DataFrame) -> DataFrame:
+    """(path) of a manifest, about one in each partition; paths stay rows, however many there are."""
+    return manifest.select("path").repartition(max(1, manifest.count()))
 
 
 def arc_index(manifest: DataFrame) -> DataFrame:
-    """(file, number, key, length, digest) of every record in the ARC files, saved."""
-    paths, numbers = _listed(manifest)
-    schema = pa.schema([("file", pa.int64()), ("number", pa.int64()), ("key", pa.int64()), ("length", pa.int64()), ("digest", pa.binary())])
+    """(path, number, key, length, digest) of every record in the ARC files, saved."""
+    schema = pa.schema([("path", pa.string()), ("number", pa.int64()), ("key", pa.int64()), ("length", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for path in batch.column(0).to_pylist():
                 rows = []
-                for n, (_, block) in enumerate(read_arc(unpacked(paths[k]))):
+                for n, (_, block) in enumerate(read_arc(unpacked(path))):
                     head, payload = split_http(block)
-                    rows.append({"file": k, "number": n, "key": key_of(head), "length": len(payload), "digest": hashlib.sha1(payload).digest()})
+                    rows.append({"path": path, "number": n, "key": key_of(head), "length": len(payload), "digest": hashlib.sha1(payload).digest()})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return save(numbers.mapInArrow(run, "file long, number long, key long, length long, digest binary"), "index")
+    return save(_files(manifest).mapInArrow(run, "path string, number long, key long, length long, digest binary"), "index")
 
 
 def decide(index: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(file, revisits): for each file the numbers of its revisits with the place and key they refer to, saved.
+    """(path, marks): for each file its records by number, (digest, and where it is a revisit the place and key it refers to), saved.
 
     The greatest of a digest is aggregated before the shuffle; the narrow rows
     of a digest that very many records share are split by skew handling.
     """
     large = index.where(F.col("length") >= min_revisit)
-    best = large.groupBy("digest", "length").agg(F.max(F.struct("key", "file", "number")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = large.groupBy("digest", "length").agg(F.max(F.struct("key", "path", "number")).alias("best"), F.count("*").alias("n")).where("n > 1")
     best = save(best.select("digest", "length", "best"), "best")
-    place = F.struct("key", "file", "number")
-    again = large.join(best, ["digest", "length"]).where(~place.eqNullSafe(F.col("best")))
-    revisit = F.struct("number", F.col("best.file").alias("to_file"), F.col("best.number").alias("to_number"), F.col("best.key").alias("to_key"))
-    return save(again.groupBy("file").agg(F.array_sort(F.collect_list(revisit)).alias("revisits")), "revisits")
+    place = F.struct("key", "path", "number")
+    again = (F.col("length") >= min_revisit) & ~place.eqNullSafe(F.col("best"))
+    to = F.when(F.col("best").isNotNull() & again, F.struct(F.col("best.path").alias("path"), F.col("best.number").alias("number"), F.col("best.key").alias("key")))
+    marks = index.join(best, ["digest", "length"], "left").select("path", F.struct("number", "digest", to.alias("to")).alias("mark"))
+    out = save(marks.groupBy("path").agg(F.array_sort(F.collect_list("mark")).alias("marks")), "marks")  # bounded by FILE_BYTES
+    drop_saved(best)
+    return out
 
 
 def convert(arcs: DataFrame, out: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the ARC files of a manifest as WARC files; returns their manifest (path, records), saved."""
-    paths, numbers = _listed(arcs)
-    revisits = decide(arc_index(arcs), min_revisit)
-    # A file's revisits are bounded by the file's size, so by FILE_BYTES.
-    work = numbers.withColumnRenamed("id", "file").join(revisits, "file", "left").repartition(max(1, len(paths)), "file")
+    index = arc_index(arcs)
+    marks = decide(index, min_revisit)
+    work = _files(arcs).join(marks, "path", "left").repartition(max(1, arcs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Members(out, "warc.gz", warc_head)
         for batch in batches:
-            for k, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                to = {r["number"]: r for r in found or []}
-                for n, (fields, block) in enumerate(read_arc(unpacked(paths[k]))):
+            for path, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                marks = found.as_py() or []
+                for n, (fields, block) in enumerate(read_arc(unpacked(path))):
                     head, payload = split_http(block)
+                    digest, to = marks[n]["digest"], marks[n]["to"]
                     headers = {
-                        "WARC-Type": "revisit" if n in to else "response", "WARC-Record-ID": record_id(paths[k], n), "WARC-Date": warc_date(fields["Archive-date"]),
+                        "WARC-Type": "revisit" if to else "response", "WARC-Record-ID": record_id(path, n), "WARC-Date": warc_date(fields["Archive-date"]),
                         "WARC-Target-URI": fields["URL"], "WARC-IP-Address": fields["IP-address"], "Content-Type": "application/http;msgtype=response" if head else fields["Content-type"],
-                        "WARC-Payload-Digest": _digest(payload), "X-Payload-Length": str(len(payload)),
+                        "WARC-Payload-Digest": "sha1:" + base64.b32encode(digest).decode(), "X-Payload-Length": str(len(payload)),
                     }
-                    if n in to:
-                        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(paths[to[n]["to_file"]], to[n]["to_number"])}
-                        if to[n]["to_key"] is not None:
-                            headers["X-Refers-To-Page"] = str(to[n]["to_key"])
+                    if to:
+                        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(to["path"], to["number"])}
+                        if to["key"] is not None:
+                            headers["X-Refers-To-Page"] = str(to["key"])
                         block = head
                     headers["WARC-Block-Digest"] = _digest(block)
                     files.add(warc_record(headers, block))
         yield files.manifest()
 
-    return save(work.mapInArrow(run, MANIFEST), "warcs")
+    warcs = save(work.mapInArrow(run, MANIFEST), "warcs")
+    drop_saved(index, marks)
+    return warcs
 
 
 def read(warcs: DataFrame) -> DataFrame:
@@ -303,28 +307,27 @@ def read(warcs: DataFrame) -> DataFrame:
     A response's length and digest are those of the payload read; they must
     agree with what its header says, as must the block's digest.
     """
-    paths, numbers = _listed(warcs)
     fields = [("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("date", pa.string())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for path in batch.column(0).to_pylist():
                 rows = []
-                for headers, block in read_warc(unpacked(paths[k])):
+                for headers, block in read_warc(unpacked(path)):
                     if headers["WARC-Type"] not in ("response", "revisit"):
                         continue
                     if _digest(block) != headers["WARC-Block-Digest"]:
-                        raise ValueError(f"a block of {paths[k]} has changed")
+                        raise ValueError(f"a block of {path} has changed")
                     head, payload = split_http(block)
                     size, digest = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"]
                     if headers["WARC-Type"] == "response" and (len(payload), _digest(payload)) != (size, digest):
-                        raise ValueError(f"a payload of {paths[k]} has changed")
+                        raise ValueError(f"a payload of {path} has changed")
                     to = headers.get("X-Refers-To-Page")
                     rows.append({"key": key_of(head), "payload_bytes": size, "payload_digest": base64.b32decode(digest[5:]).hex(), "record_type": headers["WARC-Type"], "refers_to": int(to) if to is not None else None, "url": headers["WARC-Target-URI"], "date": headers["WARC-Date"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return numbers.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string")
+    return _files(warcs).mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string")
 
 
 def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast hints are given only to tables counted to hold at most so many rows.
 BROADCAST_ROWS = 200_000
+#: The same for rows of a few numbers each.
+NARROW_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of letters and digits, once A-Z are lower case.
@@ -88,9 +90,9 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast if the counted rows are within BROADCAST_ROWS; else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if the counted rows are within the bound; else leave the join to shuffle."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def at_once(value: Column) -> Column:

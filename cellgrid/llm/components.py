@@ -55,23 +55,27 @@ def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFram
     other node, which end in _b.  verify: gives the true ones of pairs (a, b),
     saved.
 
-    All nodes of a key are compared with one leader, which makes as many pairs
-    as there are rows; keys whose nodes are then in one group need nothing
-    more.  While many pairs of different groups are left, another leader is
-    taken; the rest is compared in full, so no link is lost.
+    All nodes of a key are compared with one leader: first each node with the
+    one that comes first of its keys' leaders, then, in keys whose nodes are
+    not in one group by then, with those of all keys.  This makes at most as
+    many pairs as there are rows.  While many pairs of different groups are
+    left, another leader is taken; the rest is compared in full, so no link is
+    lost.
     """
     left_over = LEFT_OVER if left_over is None else left_over
     columns = [c for c in rows.columns if c != "key"]
     rows, edges, left, turn = rows.withColumn("label", F.col("node")), None, None, 0
 
-    def meet(others: DataFrame, condition: Column) -> DataFrame:
+    def meet(others: DataFrame, condition: Column, one: Column | None = None) -> DataFrame:
         pairs = rows.join(others, (F.col("key") == F.col("key_b")) & condition & near)
+        pairs = pairs.groupBy("node").agg(F.min_by("node_b", one).alias("node_b")) if one is not None else pairs
         return verify(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
 
     while True:
-        order = F.xxhash64("node", F.lit(turn))
+        seed = F.lit(max(0, turn - 1))
+        order = F.xxhash64("node", seed)
         leaders = rows.groupBy(F.col("key").alias("key_b")).agg(*[F.min_by(c, order).alias(f"{c}_b") for c in (*columns, "label")])
-        more = meet(leaders, F.col("label") != F.col("label_b"))
+        more = meet(leaders, F.col("label") != F.col("label_b"), None if turn else F.xxhash64("node_b", seed))
         edges = hold.save(edges.union(more), "edges") if edges is not None else more
         parts = components(edges)
         hold.tables.append(parts)
@@ -83,9 +87,9 @@ def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFram
         groups = rows.groupBy("key", "label").count()
         totals = groups.groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"), F.sum("count").alias("n"))
         pairs, n = totals.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= left_over * n or left is not None and pairs * 2 > left:
+        if not n or turn and (pairs <= left_over * n or left is not None and pairs * 2 > left):
             break
-        left, turn = pairs, turn + 1
+        left, turn = pairs if turn else None, turn + 1
     if n:
         others = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
         more = meet(others, (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")))

@@ -44,6 +44,14 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 
@@ -88,11 +96,13 @@ class Templates:
         vocabulary = F.broadcast(self.spark.createDataFrame([(t,) for t in sorted({t for w in words for t in w})], "token string"))
         tokens = docs.select(F.explode(F.split(spaced_words(F.col(text_col)), " ", -1)).alias("token"))
         counted = {r["token"]: r["count"] for r in tokens.join(vocabulary, "token").groupBy("token").count().collect()}  # at most the templates' vocabulary
+        rank = {t: i for i, t in enumerate(sorted({t for w in words for t in w}, key=lambda t: (counted.get(t, 0), t)))}
+        self.ranks = list(rank.items())
         self.index = []
         for k, (label, _) in enumerate(templates):
-            ordered = sorted(words[k], key=lambda t: (counted.get(t, 0), t))
+            ordered = sorted(words[k], key=rank.__getitem__)
             need = math.ceil(threshold * len(ordered) - 1e-9)
-            self.index += [(ordered[i], k, label, len(ordered), need, i, ordered) for i in range(len(ordered) - need + 1)]
+            self.index += [(ordered[i], k, label, len(ordered), need, i, ordered, [rank[t] for t in ordered]) for i in range(len(ordered) - need + 1)]
 
     def pattern(self) -> str:
         """Finds a prefix token among words parted by blanks."""
@@ -103,14 +113,14 @@ class Templates:
 
         The index is made from the fixed list of templates, so its broadcast is bounded.
         """
-        index = F.broadcast(self.spark.createDataFrame(self.index, "token string, template int, label string, n int, need int, place int, ordered array<string>"))
-        probes = (
-            blocks.select("rid", "block", "words", F.explode("words").alias("token"))
-            .join(index, "token")
-            .where(F.size("words") >= F.col("need"))
-            .where(F.col("n") - F.col("place") >= F.col("need"))
-        )
-        overlap = F.size(F.array_intersect("ordered", "words"))
+        ranks = F.broadcast(self.spark.createDataFrame(self.ranks, "token string, rank int"))
+        index = [(all_ranks[i], k, label, n, need, i, all_ranks) for _, k, label, n, need, i, _, all_ranks in self.index]
+        index = F.broadcast(self.spark.createDataFrame(index, "rank int, template int, label string, n int, need int, i int, ordered array<int>"))
+        known = blocks.select("rid", "block", F.explode("words").alias("token")).join(ranks, "token").groupBy("rid", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
+        b, i, j, n, need = F.size("own"), F.col("i"), F.col("j"), F.col("n"), F.col("need")
+        probes = known.select("rid", "block", "own", F.posexplode("own").alias("j", "rank")).join(index, "rank")
+        probes = probes.where((b >= need) & (j <= b - need) & (F.least(i, j) + 1 + F.least(n - i, b - j) - 1 >= need))
+        overlap = F.size(F.array_intersect("ordered", "own"))
         verified = probes.select("rid", "block", "template", "label", "n", "need", overlap.alias("overlap")).where(F.col("overlap") >= F.col("need"))
         return verified.select("rid", "block", "template", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
 
@@ -119,7 +129,7 @@ class Templates:
 
         Such a place has a prefix token; the windows around each of these are looked at.
         """
-        rows = [(t, k, label, n, need, ordered, self.widths[k]) for t, k, label, n, need, _, ordered in self.index]
+        rows = [(t, k, label, n, need, ordered, self.widths[k]) for t, k, label, n, need, _, ordered, _ in self.index]
         index = F.broadcast(self.spark.createDataFrame(rows, "token string, template int, label string, n int, need int, ordered array<string>, width int"))
         tokens = sorted({r[0] for r in self.index})
         found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i].isin(tokens))

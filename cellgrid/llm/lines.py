@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, Scratch, at_once, drop_saved, unused
+from .common import NARROW_ROWS, WORD_GAP, Scratch, at_once, drop_saved, small, unused
 from .components import linked
 
 MIN_WORDS, SIMILARITY = 5, 0.8
@@ -50,9 +50,6 @@ WORD_BLOCKS = ((16, 80, None), (8, 24, 110), (4, 0, 32))
 BLOCK_WORDS, PAIRED = 3, 16
 #: Words whose sums one row holds: fields of 16 bits, block sums of 40 bits and counts of 11.
 CHUNK = 2_000
-#: Rows of a few numbers each that may be broadcast, when counted.
-NARROW_ROWS = 1_000_000
-
 #: Letters of scripts written without blanks; each is a word.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters among which all those letters are; quicker to look for.
@@ -159,7 +156,7 @@ def fingerprints(found: DataFrame, nodes: DataFrame, hold: Scratch) -> DataFrame
 
 def _narrow(df: DataFrame) -> DataFrame:
     """A saved table of few columns, broadcast if it is counted to be within NARROW_ROWS."""
-    return F.broadcast(df) if df.count() <= NARROW_ROWS else df
+    return small(df, df.count(), NARROW_ROWS)
 
 
 def _at_most(x: Column, y: Column, v: Column, w: Column) -> Column:
@@ -190,7 +187,7 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch) -> DataFrame:
     both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
     near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
     # What the bound leaves open is computed: most distances are small, so narrow bands come first.
-    for part in (64, 8, 1):
+    for part in (32, 8, 3, 1):
         near = near | F.expr(f"levenshtein(x, y, most div {part}) >= 0")
     # Few bytes can be much work here, so the number of parts does not follow from their size.
     parts = 4 * both.sparkSession.sparkContext.defaultParallelism

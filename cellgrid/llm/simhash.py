@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_saved, save, small, unused
+from .common import NARROW_ROWS, Scratch, drop_saved, save, small, unused
 from .components import components, linked
 
 #: Bits of the three segments, low ones first.
@@ -158,25 +158,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
 
 #: Jaccard similarity of the shingles from which near_copies() links.
 JACCARD = 0.8
+#: Texts that a task compares with one and the same text, about.
+SAME_TASK = 500
 
 
 def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bool, shingle: int, hold: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes at places (node, node_id, node_h) of rows (id, h, text binary) whose shingle sets have a similarity of JACCARD, saved."""
+    """The pairs (a, b) of nodes at places (node, node_id, node_h) of rows (id, h, text binary) whose shingle sets have a similarity of JACCARD, saved.
+
+    The texts are dealt out by b, each with b's text before it; a b of many
+    pairs is dealt to several tasks.  Only texts are moved, and a task holds
+    the set of one b at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, head = None, None
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            found = [], []
+            for b, salt, node, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), batch.column(4)):
+                own = np.unique(shingle_hashes(text.as_py() or b"", shingle))
+                if of != (b, salt):
+                    of, head = (b, salt), own  # the first of its part is b itself
+                elif (met := len(np.intersect1d(head, own, assume_unique=True))) >= (len(head) + len(own)) * (JACCARD / (1 + JACCARD)) - 1e-9:
+                    found[0].append(node), found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
     pairs = hold.save(pairs.distinct(), "pairs")
-    involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(places, "node"), "involved")
-    texts = rows.join(small(involved, involved.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("node", "text")
-    texts = texts.dropDuplicates(["node"]) if repeated else texts
-    sets = hold.save(texts.mapInArrow(run, "node long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    met, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    out = hold.save(both.where(met >= total * (JACCARD / (1 + JACCARD)) - 1e-9).select("a", "b"), "verified")
-    drop_saved(pairs, involved, sets)
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SAME_TASK).alias("parts"))
+    dealt = hold.save(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt")), "dealt")
+    heads = dealt.select("b", "salt", F.lit(0).alias("rank"), F.col("b").alias("node")).distinct()
+    jobs = hold.save(heads.union(dealt.select("b", "salt", F.lit(1), "a")).join(places, "node"), "jobs")
+    texts = rows.join(small(jobs, jobs.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("b", "salt", "rank", "node", "text")
+    texts = texts.dropDuplicates(["b", "salt", "node"]) if repeated else texts
+    out = hold.save(texts.repartition("b", "salt").sortWithinPartitions("b", "salt", "rank").mapInArrow(run, "a long, b long"), "verified")
+    drop_saved(pairs, dealt, jobs)
     return out
 
 
@@ -212,9 +226,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     least = sets.groupBy("whole").agg(F.min(F.struct("id", "h")).alias("best"), F.count("*").alias("rows"))
     nodes = hold.save(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = sets.join(nodes.select("whole", "best", "node"), "whole").where(F.struct("id", "h").eqNullSafe(F.col("best")))
-    keyed = hold.save(own.select("node", "n", F.posexplode("prefix").alias("at", "key")).dropDuplicates(["node", "key"]), "keyed")
-    sizes = keyed.groupBy("key").count().where("count > 1").select("key")
-    shared = hold.save(keyed.join(sizes, "key"), "shared")
+    own = hold.save(own.select("node", "n", "prefix"), "own")
+    keyed = own.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
+    shared = hold.save(keyed.join(small(sizes, sizes.count(), NARROW_ROWS), "key"), "shared")
     hold.drop(sets, nodes, shared)
     need = (F.col("n") + F.col("n_b")) * (JACCARD / (1 + JACCARD)) - 1e-9
     near = F.least(F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), "n", "n_b") >= need

@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon transducer maps words to the classes insult, threat, target,
-negation and report.  Four small transducers rewrite these symbols: negation
-marks insults that follow within its scope, report marks those after a verb
-of speech, target those in a clause that addresses someone, and threat joins a
-threat with the target that follows.  They are composed once into one
-deterministic machine that reads a clause from left to right; each pattern it
-emits adds the insult's weight to one feature of the text.
+negation and report.  Four small transducers rewrite these symbols, in this
+order: negation marks insults and takes back threats that follow within its
+scope; threat joins a threat with the target that follows and passes the
+target on; target marks insults of a clause that addresses someone, before or
+soon after the insult; report marks what follows a verb of speech.  They are
+composed once into one deterministic machine that reads a clause from left to
+right; each pattern it emits adds the insult's weight to one feature of the
+text.  No feature is made of words outside a pattern.
 
 Insult words and stems and their weights are learnt from labelled texts as
 log-odds; a logistic model turns the features into a probability.  It is
@@ -17,8 +19,9 @@ that sample, and every text is scored whole.
 
 Defined cases: null and empty texts have no pattern and score the model's base
 rate; repeated rows score alike; labels repeated for a document count once
-(the higher); an empty label table gives the model's prior, 0.05; other
-columns are ignored.
+(the higher); of labelled texts that are near copies with one mark the least
+id counts; an empty label table gives the model's prior, 0.05; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +54,9 @@ CLASSES = {
     "report": "said says say wrote writes called quoted claimed sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó",
 }
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
-FEATURES = ("plain", "targeted", "negated", "reported", "threat")
+FEATURES = ("plain", "targeted", "negated", "reported", "menace")
+#: Emitted where a target follows an insult: the last plain insult was meant for someone.
+RECAST = len(FEATURES)
 SCOPE = 3
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -77,16 +82,9 @@ def negation() -> Transducer:
     def step(left, symbol):
         if symbol == "negation":
             return SCOPE, "other"
-        return max(0, left - 1), "negated" if symbol == "insult" and left else symbol
-
-    return Transducer(0, step)
-
-
-def report() -> Transducer:
-    def step(on, symbol):
-        if symbol == "report":
-            return 1, "other"
-        return on, "reported" if on and symbol in ("insult", "negated", "threat") else symbol
+        if left and symbol in ("insult", "threat"):
+            return left - 1, "negated" if symbol == "insult" else "other"
+        return max(0, left - 1), symbol
 
     return Transducer(0, step)
 
@@ -95,23 +93,38 @@ def threat() -> Transducer:
     def step(left, symbol):
         if symbol == "threat":
             return SCOPE, "other"
-        return (0, "threat") if symbol == "target" and left else (max(0, left - 1), symbol)
+        return (0, "menace") if symbol == "target" and left else (max(0, left - 1), symbol)
 
     return Transducer(0, step)
 
 
 def target() -> Transducer:
+    def step(state, symbol):
+        on, since = state  # whether someone is addressed; words left in which a target still belongs to the last plain insult
+        if symbol in ("target", "menace"):
+            return (1, 0), "recast" if since and symbol == "target" else symbol
+        if symbol == "insult":
+            return (on, 0 if on else SCOPE), "targeted" if on else "plain"
+        return (on, max(0, since - 1)), symbol
+
+    return Transducer((0, 0), step)
+
+
+def report() -> Transducer:
     def step(on, symbol):
-        if symbol == "target":
+        if symbol == "report":
             return 1, "other"
-        return on, ("targeted" if on else "plain") if symbol == "insult" else symbol
+        if on and symbol in ("plain", "targeted", "negated", "menace"):
+            return on, "reported"
+        return on, "other" if on and symbol == "recast" else symbol
 
     return Transducer(0, step)
 
 
 def grammar() -> tuple[list[list[int]], list[list[int]]]:
     """The composed machine as tables [state][symbol] of next states and emitted features (-1: none)."""
-    machine = negation().compose(report()).compose(threat()).compose(target())
+    machine = negation().compose(threat()).compose(target()).compose(report())
+    names = [*FEATURES, "recast"]
     number, queue = {machine.start: 0}, [machine.start]
     nexts, outs = [], []
     for state in queue:
@@ -122,7 +135,7 @@ def grammar() -> tuple[list[list[int]], list[list[int]]]:
                 number[to] = len(queue)
                 queue.append(to)
             row.append(number[to])
-            out.append(FEATURES.index(emitted) if emitted in FEATURES else -1)
+            out.append(names.index(emitted) if emitted in names else -1)
         nexts.append(row)
         outs.append(out)
     return nexts, outs
@@ -151,15 +164,19 @@ class Model:
         sums = [0.0] * len(FEATURES)
         if insults or not CLOSED_THREATS.isdisjoint(words):
             for clause in _CLAUSE.split(text):
-                state = 0
+                state, last = 0, 0.0
                 for w in _WORD.findall(clause):
                     weight = insults.get(w)
                     symbol = 1 if weight else CLOSED.get(w, 0)
                     out = self.outs[state][symbol]
                     state = self.nexts[state][symbol]
-                    if out >= 0:
-                        sums[out] += weight or 1.0
-        return [*(np.log1p(x) for x in sums), float(max(insults.values(), default=0.0)), float(np.log1p(len(insults)))]
+                    if out == RECAST:
+                        sums[0] -= last
+                        sums[1] += last
+                    elif out >= 0:
+                        last = weight or 1.0
+                        sums[out] += last
+        return [float(np.log1p(max(x, 0.0))) for x in sums]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.coefficients is None:
@@ -199,17 +216,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     marked = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     drawn = marked.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) < max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # bounded by max_labelled
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # bounded by max_labelled, about
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(set(_WORD.findall((t.as_py() or "").lower()))) for t in batch.column(0)]
+            words = [sorted(set(_WORD.findall((t.as_py() or "").lower()))) for t in batch.column(1)]
             # Near copies mostly share their least hashes and then count as one text.
             sketch = [repr(sorted(crc32(w.encode()) for w in ws)[:3]) for ws in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(sketch, pa.string())], names=["text", "toxic", "words", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(sketch, pa.string())], names=["id", "text", "toxic", "words", "sketch"])
 
-    kept = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(terms, "text string, toxic int, words array<string>, sketch string")
-    kept = save(kept.withColumn("fold", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int")).dropDuplicates(["sketch", "toxic"]), "labelled")
+    rows = rows.select("id", "text", F.col("toxic").cast("int").alias("toxic"))
+    kept = rows.mapInArrow(terms, f"id {docs.schema[id_col].dataType.simpleString()}, text string, toxic int, words array<string>, sketch string")
+    first = kept.groupBy("sketch", "toxic").agg(F.min(F.struct("id", "text", "words")).alias("first"))
+    kept = save(first.select("first.text", "toxic", "first.words", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int").alias("fold")), "labelled")
     sizes: dict = defaultdict(int)
     for r in kept.groupBy("fold", "toxic").count().collect():
         sizes[r["fold"], int(r["toxic"] > 0)] += r["count"]

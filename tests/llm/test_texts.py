@@ -130,13 +130,48 @@ def test_exchange_finds_planted_classes():
 # Toxicity
 
 
+def read_clause(kinds):
+    """The grammar by loops over a clause's kinds of words: (feature, place) of each pattern."""
+    near = lambda i, kind: any(k == kind for k in kinds[max(0, i - toxicity.SCOPE) : i])
+    out, addressed = {}, False
+    for i, kind in enumerate(kinds):
+        told = "report" in kinds[:i]
+        if kind == "insult":
+            # Negation reaches the words after it that are no negation themselves.
+            out[i] = "negated" if near(i, "negation") else "targeted" if addressed else "plain"
+            out[i] = "reported" if told else out[i]
+        elif kind == "target":
+            threats = [j for j in range(max(0, i - toxicity.SCOPE), i) if kinds[j] == "threat" and not near(j, "negation") and "target" not in kinds[j:i]]
+            if threats:
+                out[i] = "reported" if told else "menace"
+            elif not addressed and not told:
+                last = [j for j in range(max(0, i - toxicity.SCOPE), i) if kinds[j] == "insult" and out.get(j) != "negated"]
+                if last and out[last[-1]] == "plain":
+                    out[last[-1]] = "targeted"
+            addressed = True
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=14))
+def test_grammar_equals_loops(kinds):
+    words = {"other": "chair", "insult": "idiot", "threat": "kill", "target": "you", "negation": "not", "report": "said"}
+    m = toxicity.Model({"idiot": 2.0}, {})
+    got = dict(zip(toxicity.FEATURES, np.expm1(m.features(" ".join(words[k] for k in kinds))).round(6)))
+    found = read_clause(kinds)
+    assert got == {f: sum((2.0 if kinds[i] == "insult" else 1.0) for i, x in found.items() if x == f) for f in toxicity.FEATURES}
+
+
 def test_grammar_marks_patterns():
     m = toxicity.Model({"idiot": 2.0}, {"vequ": 1.0})
-    f = lambda t: dict(zip(toxicity.FEATURES, np.expm1(m.features(t)[:5]).round(6)))
+    f = lambda t: dict(zip(toxicity.FEATURES, np.expm1(m.features(t)).round(6)))
     assert f("an idiot")["plain"] == 2 and f("you idiot")["targeted"] == 2 and f("not an idiot")["negated"] == 2
-    assert f("he said idiot")["reported"] == 2 and f("I will kill you")["threat"] == 1
+    assert f("he said idiot")["reported"] == 2 and f("I will kill you")["menace"] == 1
+    assert f("I will kill you idiot")["targeted"] == 2 and f("idiot you")["targeted"] == 2
+    assert sum(f("I will not kill you").values()) == 0 == sum(f("he said kill").values()) and f("he said I will kill you")["reported"] == 1
     assert f("not x y z an idiot")["plain"] == 2 and f("you. idiot")["plain"] == 2 and f("vequable")["plain"] == 1
     assert sum(f(None).values()) == sum(f("").values()) == 0
+    assert f("chair " * 50_000 + "idiot")["plain"] == 2
 
 
 def test_toxicity_learns(spark, docs):
@@ -153,7 +188,7 @@ def test_toxicity_learns(spark, docs):
     model = toxicity.learn(d, labels)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
     assert all((got[i] >= 0.3) == bool(marks[i]) for i in range(300, 400)) and got[400] == got[401] < 0.3
-    assert toxicity.learn(d, labels.where("false")).score(np.zeros((1, 7)))[0] == 0.05
+    assert toxicity.learn(d, labels.where("false")).score(np.zeros((1, 5)))[0] == 0.05
     assert toxicity.score(docs([]), model).count() == 0
 
 
