@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.sources.shared import materialised, unused
+
 Fields = str | list[str] | tuple[str, ...]
 
 
@@ -43,30 +45,52 @@ def group_counts(df: DataFrame, fields: Fields) -> DataFrame:
     return df.groupBy(*field_list(df, fields)).agg(F.count("*").alias("n_rows"))
 
 
-def group_table(df: DataFrame, fields: Fields) -> DataFrame:
-    """(fields..., group_id): ids from 0 in the order of the values.
-
-    The distinct values are sorted over ranges; each range's rank starts after
-    the counts of those before it, so no single task sees them all.
-    """
-    names = field_list(df, fields)
-    spark = df.sparkSession
-    values = df.select(*names).distinct().repartitionByRange(*names).sortWithinPartitions(*names).persist()
-    numbered = values.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+def _numbered(sorted_rows: DataFrame, name: str) -> DataFrame:
+    """Rows sorted over ranges with their position: each range's starts after the counts of those before it, so no single task sees them all."""
+    spark = sorted_rows.sparkSession
+    part, base = unused(sorted_rows, "part", "base")
+    numbered = materialised(sorted_rows.withColumns({part: F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     total, offsets = 0, []
-    for part, n in sorted(numbered.groupBy("_part").count().collect()):  # a row for each partition
-        offsets.append((part, total))
+    for at, n in sorted(numbered.groupBy(part).count().collect()):  # a row for each partition
+        offsets.append((at, total))
         total += n
-    at = F.broadcast(spark.createDataFrame(offsets, "_part int, _base long"))
-    return numbered.join(at, "_part").select(*names, (F.col("_base") + F.col("_in")).alias("group_id"))
+    table = F.broadcast(spark.createDataFrame(offsets, f"`{part}` int, `{base}` long"))
+    return numbered.join(table, part).withColumn(name, F.col(base) + F.col(name)).drop(part, base)
+
+
+def group_table(df: DataFrame, fields: Fields) -> DataFrame:
+    """(fields..., group_id): ids from 0 in the order of the values, which are sorted over ranges."""
+    names = field_list(df, fields)
+    return _numbered(df.select(*names).distinct().repartitionByRange(*names).sortWithinPartitions(*names), "group_id")
+
+
+def _with_keys(table: DataFrame, df: DataFrame, names: list[str]) -> tuple[DataFrame, Column, list[str]]:
+    """table with its fields renamed to names that df lacks, the condition that joins both, and the new names."""
+    keys = unused(df, *[f"key_{c}" for c in names])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{k}`")) for c, k in zip(names, keys)])
+    return table.withColumnsRenamed(dict(zip(names, keys))), same, keys
 
 
 def group_ids(df: DataFrame, fields: Fields) -> DataFrame:
     """df with group_id added."""
+    table, same, keys = _with_keys(group_table(df, fields), df, field_list(df, fields))
+    return df.join(table, same).drop(*keys)
+
+
+def group_positions(df: DataFrame, fields: Fields, row_col: str = "row_idx", indices_type: str = "bigint") -> DataFrame:
+    """(fields..., ordinal, row): indices_by_field() in long form, for groups of any size.
+
+    Rows are sorted over ranges of the fields and positions; a row's ordinal is
+    its place less that of its group's first row.  A group that fills many
+    ranges is in as many tasks.
+    """
     names = field_list(df, fields)
-    table = group_table(df, fields).withColumnsRenamed({c: f"_k_{c}" for c in names})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names])
-    return df.join(table, same).drop(*[f"_k_{c}" for c in names])
+    rows = df.select(*names, F.col(row_col).cast(indices_type).alias(row_col))
+    (place,) = unused(rows, "place")
+    placed = _numbered(rows.repartitionByRange(*names, row_col).sortWithinPartitions(*names, row_col), place)
+    (first,) = unused(placed, "first")
+    starts, same, keys = _with_keys(placed.groupBy(*names).agg(F.min(place).alias(first)), placed, names)
+    return placed.join(starts, same).select(*names, (F.col(place) - F.col(first)).alias("ordinal"), row_col)
 
 
 def indices_by_id(ids: DataFrame, id_col: str = "group_id", row_col: str = "row_idx") -> DataFrame:
@@ -77,7 +101,7 @@ def indices_by_id(ids: DataFrame, id_col: str = "group_id", row_col: str = "row_
 def group_update(df: DataFrame, fields: Fields, **updates: Column) -> DataFrame:
     """df with columns set from aggregates over each row's group, such as group_update(t, "a", mean=F.avg("b"))."""
     names = field_list(df, fields)
-    totals = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in names]).agg(*[e.alias(f"_u_{n}") for n, e in updates.items()])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names])
+    values = unused(df, *[f"new_{n}" for n in updates])
+    totals, same, _ = _with_keys(df.groupBy(*names).agg(*[e.alias(v) for v, e in zip(values, updates.values())]), df.select("*", *[F.lit(0).alias(v) for v in values]), names)
     joined = df.join(totals, same)
-    return joined.select(*[df[c] for c in df.columns if c not in updates], *[F.col(f"_u_{n}").alias(n) for n in updates])
+    return joined.select(*[df[c] for c in df.columns if c not in updates], *[F.col(v).alias(n) for v, n in zip(values, updates)])

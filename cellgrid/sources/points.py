@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellgrid.sources.shared import unused
+
 
 def points(df: DataFrame, id_col: str = "id", coords: str | tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Project a table to a point cloud; other columns are pruned.
@@ -50,16 +52,17 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     come out alike each time, such as a scan of files.
     """
     spark = df.sparkSession
-    numbered = df.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    counts = sorted(numbered.groupBy("_part").count().collect())  # a row for each partition
+    part, mono, offset = unused(df, "part", "mono", "offset")
+    numbered = df.withColumn(part, F.spark_partition_id()).withColumn(mono, F.monotonically_increasing_id())
+    counts = sorted(numbered.groupBy(part).count().collect())  # a row for each partition
     offsets, total = [], 0
-    for part, n in counts:
-        offsets.append((part, total))
+    for at, n in counts:
+        offsets.append((at, total))
         total += n
-    table = spark.createDataFrame(offsets, "_part int, _offset long")
+    table = spark.createDataFrame(offsets, f"`{part}` int, `{offset}` long")
     # The id's low 33 bits count the rows of its partition.
-    local = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.join(F.broadcast(table), "_part").withColumn(name, F.col("_offset") + local).drop("_part", "_mono", "_offset")
+    local = F.col(mono).bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(table), part).withColumn(name, F.col(offset) + local).drop(part, mono, offset)
 
 
 def uniform_cloud(spark: SparkSession, n: int, side: float = 15.0, seed: int = 42) -> DataFrame:

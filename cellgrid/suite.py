@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cellgrid import NeighbourSearch, group_counts, group_ids, group_update, group_values, indices_by_field, indices_by_id, points
 from cellgrid.operators import voxels
+from cellgrid.operators.grouping import group_positions, iterate_groups
+from cellgrid.sources.points import stacked_clusters
+from cellgrid.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,11 +102,7 @@ def knn_batched(spark, sf_dir):
 
 
 def persisted_searcher(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{shared.rstrip('/')}/searcher-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/searcher-{uuid.uuid4().hex}"
     c = cloud(spark, sf_dir)
     NeighbourSearch(c, 0.2).save(path)
     return NeighbourSearch.load(spark, path).find_neighbours(c, 5)
@@ -122,6 +122,27 @@ def indices_dense_id(spark, sf_dir):
     return _listed(indices_by_id(ids, "group_id", "o_orderkey"))
 
 
+def indices_long(spark, sf_dir):
+    return group_positions(_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
+def indices_32_bit(spark, sf_dir):
+    return indices_by_field(_table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "int").select("c_mktsegment", F.posexplode("indices").alias("ordinal", "row"))
+
+
+def groups_in_turn(spark, sf_dir):
+    """The groups as iterate_groups() hands them out, one after another."""
+    rows = [(field, len(found), int(min(found)), int(max(found))) for field, found in iterate_groups(_table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")]
+    return spark.createDataFrame(rows, "c_mktsegment string, n_rows long, first long, last long")
+
+
+def stacked(spark, sf_dir):
+    """Each point of a cluster stacked three times has its copies at no distance."""
+    c = stacked_clusters(spark, 200, 3)
+    found = NeighbourSearch(c, 1e-6).find_neighbours(c, 3)
+    return found.select("query_id", "rank", "search_id", F.col("distance").cast("double").alias("distance"))
+
+
 def dense_group_id(spark, sf_dir):
     return group_ids(_table(spark, sf_dir, "orders"), ("o_orderstatus", "o_orderpriority")).select("o_orderkey", "group_id")
 
@@ -148,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "count_neighbours": count_near(0.05), "count_neighbours_wide": count_near(0.1),
     "indices_single": by_field("orders", "o_orderstatus", "o_orderkey"), "indices_multi": by_field("orders", ["o_orderstatus", "o_orderpriority"], "o_orderkey"),
     "indices_string_key": by_field("customer", ("c_mktsegment",), "c_custkey"),
+    "indices_long": indices_long, "indices_32_bit": indices_32_bit, "groups_in_turn": groups_in_turn, "stacked_clusters": stacked,
     "indices_by_id": indices_dense_id, "group_ids": dense_group_id, "group_values": distinct_values, "group_counts": counts, "group_update": update,
 }
 
@@ -200,6 +222,10 @@ SQL: dict[str, str] = {
     "indices_single": _lists("orders", "o_orderstatus", "o_orderkey"), "indices_multi": _lists("orders", "o_orderstatus, o_orderpriority", "o_orderkey"),
     "indices_string_key": _lists("customer", "c_mktsegment", "c_custkey"),
     "indices_by_id": _lists(f"(SELECT o_orderkey, {_GROUP} FROM orders)", "group_id", "o_orderkey"),
+    "indices_long": "SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey FROM orders",
+    "indices_32_bit": "SELECT c_mktsegment, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS INTEGER) AS ordinal, CAST(c_custkey AS INTEGER) AS row FROM customer",
+    "groups_in_turn": "SELECT c_mktsegment, count(*) AS n_rows, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY c_mktsegment",
+    "stacked_clusters": "SELECT CAST(q * 200 + i AS BIGINT) AS query_id, CAST(r AS INTEGER) AS rank, CAST(r * 200 + i AS BIGINT) AS search_id, CAST(0 AS DOUBLE) AS distance FROM range(0, 200) a(i), range(0, 3) b(q), range(0, 3) c(r)",
     "group_ids": f"SELECT o_orderkey, {_GROUP} FROM orders",
     "group_values": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "group_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_rows FROM orders GROUP BY o_orderstatus, o_orderpriority",
