@@ -75,7 +75,8 @@ def stacked_clusters(spark: SparkSession, n: int, copies: int, seed: int = 42) -
     """One normal cluster of n points, stacked `copies` times: points repeat exactly."""
     axes = [F.randn(seed + k).cast("float").alias(c) for k, c in enumerate("xyz")]
     one = spark.range(n).select(F.col("id").alias("_i"), *axes)
-    return one.select((F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) * n + F.col("_i")).cast("long").alias("id"), "x", "y", "z")
+    stacked = one.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return stacked.select((F.col("_copy") * n + F.col("_i")).cast("long").alias("id"), "x", "y", "z")
 
 
 def integer_table(spark: SparkSession, n: int, top: int = 100, seed: int = 42) -> DataFrame:

@@ -66,3 +66,20 @@ def test_every_row_in_one_group(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert indices_by_field(df, "a").count() == 0 and group_ids(df, "a").count() == 0 and with_row_index(df, "n").count() == 0
+
+
+def test_long_form_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from cellgrid import group_ids, group_positions, group_update, indices_by_field, with_row_index
+
+    names = ("part", "base", "place", "first", "key_a", "new_m", "mono", "offset", "group", "_part", "_k_a")
+    df = spark.createDataFrame([(i, i % 3 if i % 7 else None, i % 2) for i in range(100)], "row_idx long, a long, b long").repartition(5).select("*", *[F.lit(9).alias(c) for c in names])
+    want = {(r["a"], k): i for r in indices_by_field(df, "a").collect() for k, i in enumerate(r["indices"])}
+    assert {(r["a"], r["ordinal"]): r["row_idx"] for r in group_positions(df, "a").collect()} == want
+    ids = group_ids(df, "a").collect()
+    assert {(r["a"], r["group_id"]) for r in ids} == {(None, 0), (0, 1), (1, 2), (2, 3)} and all(r[c] == 9 for r in ids for c in names)
+    changed = group_update(df, "a", m=F.max("row_idx")).collect()
+    assert len(changed) == 100 and all(r[c] == 9 for r in changed for c in names) and {r["m"] for r in changed if r["a"] is None} == {98}
+    numbered = with_row_index(df.drop("row_idx").coalesce(1)).collect()
+    assert sorted(r["row_idx"] for r in numbered) == list(range(100)) and all(r["part"] == 9 for r in numbered)
