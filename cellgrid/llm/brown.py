@@ -165,6 +165,8 @@ def vocabulary(docs: DataFrame) -> tuple[Shards, int, DataFrame]:
 def encode(docs: DataFrame, shards: Shards, seed: int, tokens: int, ends: int) -> DataFrame:
     """Rows (id, held_out, text) as (id, held_out, n_tokens, n_known, base_score, ids), saved. tokens: N, ends: training rows."""
     distinct = int(shards.base[-1]) + (ends > 0)
+    if distinct >= END_ID:
+        raise OverflowError(f"{distinct} words do not fit 32-bit numbers")
     bottom = np.log10(tokens + distinct + 1)
 
     def block(kind: pa.DataType, ids: list, held: list, lists: list[list[bytes]]) -> pa.RecordBatch:
