@@ -25,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, at_once, small, unused, words_of
+from cellgrid.sources.shared import unused
+
+from .common import Scratch, at_once, small, words_of
 
 WINDOW = 13
 #: The term number of a row's length: one posting a row, at the place after its last word.

@@ -36,7 +36,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, WORD_GAP, Scratch, at_once, drop_saved, small, unused
+from cellgrid.sources.shared import unused
+
+from .common import NARROW_ROWS, WORD_GAP, Scratch, at_once, drop_saved, small
 from .components import linked
 
 MIN_WORDS, SIMILARITY = 5, 0.8

@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, Scratch, drop_saved, save, small, unused
+from cellgrid.sources.shared import unused
+
+from .common import NARROW_ROWS, Scratch, drop_saved, save, small
 from .components import components, linked
 
 #: Bits of the three segments, low ones first.
@@ -158,38 +160,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
 
 #: Jaccard similarity of the shingles from which near_copies() links.
 JACCARD = 0.8
-#: Texts that a task compares with one and the same text, about.
-SAME_TASK = 500
+NEAR_BITS, FEW = 24, 16
+#: Pairs that are verified together, about.
+PAIRS_A_PART = 20_000
 
 
 def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bool, shingle: int, hold: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes at places (node, node_id, node_h) of rows (id, h, text binary) whose shingle sets have a similarity of JACCARD, saved.
 
-    The texts are dealt out by b, each with b's text before it; a b of many
-    pairs is dealt to several tasks.  Only texts are moved, and a task holds
-    the set of one b at a time.
+    Pairs are dealt into parts of about PAIRS_A_PART by b, those of a b with
+    very many pairs over several; each part gets the text of each of its nodes
+    once, and a task holds the sets of one part at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, head = None, None
-        for batch in batches:
+        part, sets, jobs = None, {}, []
+
+        def near() -> pa.RecordBatch:
             found = [], []
-            for b, salt, node, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), batch.column(4)):
-                own = np.unique(shingle_hashes(text.as_py() or b"", shingle))
-                if of != (b, salt):
-                    of, head = (b, salt), own  # the first of its part is b itself
-                elif (met := len(np.intersect1d(head, own, assume_unique=True))) >= (len(head) + len(own)) * (JACCARD / (1 + JACCARD)) - 1e-9:
-                    found[0].append(node), found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            for node, others in jobs:
+                own = sets[node]
+                for b in others:
+                    if len(np.intersect1d(own, sets[b], assume_unique=True)) >= (len(own) + len(sets[b])) * (JACCARD / (1 + JACCARD)) - 1e-9:
+                        found[0].append(node), found[1].append(b)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+        for batch in batches:
+            for k, node, others, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if k != part:
+                    yield near()
+                    part, sets, jobs = k, {}, []
+                sets[node] = np.unique(shingle_hashes(text.as_py() or b"", shingle))
+                if others:
+                    jobs.append((node, others))
+        yield near()
 
     pairs = hold.save(pairs.distinct(), "pairs")
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SAME_TASK).alias("parts"))
-    dealt = hold.save(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt")), "dealt")
-    heads = dealt.select("b", "salt", F.lit(0).alias("rank"), F.col("b").alias("node")).distinct()
-    jobs = hold.save(heads.union(dealt.select("b", "salt", F.lit(1), "a")).join(places, "node"), "jobs")
-    texts = rows.join(small(jobs, jobs.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("b", "salt", "rank", "node", "text")
-    texts = texts.dropDuplicates(["b", "salt", "node"]) if repeated else texts
-    out = hold.save(texts.repartition("b", "salt").sortWithinPartitions("b", "salt", "rank").mapInArrow(run, "a long, b long"), "verified")
+    parts = -(-max(1, pairs.count()) // PAIRS_A_PART)
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") * 4 / PAIRS_A_PART).alias("salts"))
+    part = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))), F.lit(parts)).alias("part")
+    dealt = hold.save(pairs.join(many, "b").select("a", "b", part), "dealt")
+    lists = dealt.groupBy("part", F.col("a").alias("node")).agg(F.collect_list("b").alias("others"))  # within a part
+    every = lists.union(dealt.select("part", "b", F.array().cast("array<bigint>"))).groupBy("part", "node").agg(F.flatten(F.collect_set("others")).alias("others"))
+    jobs = hold.save(every.join(places, "node"), "jobs")
+    texts = rows.join(small(jobs, jobs.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("part", "node", "others", "text")
+    texts = texts.dropDuplicates(["part", "node"]) if repeated else texts
+    out = hold.save(texts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long"), "verified")
     drop_saved(pairs, dealt, jobs)
     return out
 
@@ -198,11 +214,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     """docs less all but the first, by id, of each group of near copies.
 
     Texts are linked if their sets of five-word shingles have a Jaccard
-    similarity of JACCARD.  All such pairs are found: they share one of the
+    similarity of JACCARD.  Such pairs are found: they share one of the
     first n - ceil(JACCARD n) + 1 of their n shingles in the order of the
-    hashes (prefix filter), and each is verified by the sets.  Texts of equal
-    sets are one node; nodes of a key are compared with leaders first, see
-    linked().
+    hashes (prefix filter).  Of those that share one, pairs whose SimHashes of
+    the shingles differ in more than NEAR_BITS are left out unless one is of
+    fewer than FEW shingles: at that similarity 10 bits differ, and more than
+    24 for one pair in a million.  The others are verified by the sets.  Texts
+    of equal sets are one node; nodes of a key are compared with leaders
+    first, see linked().
 
     Defined cases: null, empty and wordless texts have one and the same empty
     set, so the first of them stays; a null id comes first; rows of equal id
@@ -217,22 +236,24 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
             sizes = np.array([len(x) for x in sets], np.int32)
             starts = [x[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1].view(np.int64) for x in sets]
             whole = [md5(x.tobytes()).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(starts, pa.list_(pa.int64()))], names=["id", "h", "whole", "n", "prefix"])
+            prints = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(prints), pa.array(starts, pa.list_(pa.int64()))], names=["id", "h", "whole", "n", "fp", "prefix"])
 
     hold = Scratch(docs.sparkSession)
     # A row is known by its id and the hash of its text.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    sets = hold.save(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, h long, whole binary, n int, prefix array<long>"), "prefixes")
+    sets = hold.save(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, h long, whole binary, n int, fp long, prefix array<long>"), "prefixes")
     least = sets.groupBy("whole").agg(F.min(F.struct("id", "h")).alias("best"), F.count("*").alias("rows"))
     nodes = hold.save(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = sets.join(nodes.select("whole", "best", "node"), "whole").where(F.struct("id", "h").eqNullSafe(F.col("best")))
-    own = hold.save(own.select("node", "n", "prefix"), "own")
-    keyed = own.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    own = hold.save(own.select("node", "n", "fp", "prefix"), "own")
+    keyed = own.select("node", "n", "fp", F.posexplode("prefix").alias("at", "key"))
     sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
     shared = hold.save(keyed.join(small(sizes, sizes.count(), NARROW_ROWS), "key"), "shared")
     hold.drop(sets, nodes, shared)
     need = (F.col("n") + F.col("n_b")) * (JACCARD / (1 + JACCARD)) - 1e-9
     near = F.least(F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), "n", "n_b") >= need
+    near = near & ((F.least("n", "n_b") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= NEAR_BITS))
     place = nodes.select(F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"), "node")
     again = _repeated(sets)
     places = nodes.select("node", F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"))

@@ -81,5 +81,5 @@ def test_near_copies_by_shingle_similarity(spark, docs, monkeypatch):
     pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
     want = set(brute.union(pairs, range(len(texts))).values())
     assert pairs and len(want) > 20
-    monkeypatch.setattr(simhash, "SAME_TASK", 2)
+    monkeypatch.setattr(simhash, "PAIRS_A_PART", 8)
     assert {r["doc_id"] for r in simhash.near_copies(docs(texts), left_over=0).select("doc_id").collect()} == want
