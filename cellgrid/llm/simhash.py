@@ -196,7 +196,8 @@ def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bo
         yield near()
 
     pairs = hold.save(pairs.distinct(), "pairs")
-    parts = -(-max(1, pairs.count()) // PAIRS_A_PART)
+    # Few bytes can be much work here, so the number of parts does not follow from their size.
+    parts = max(-(-pairs.count() // PAIRS_A_PART), 4 * rows.sparkSession.sparkContext.defaultParallelism)
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") * 4 / PAIRS_A_PART).alias("salts"))
     part = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))), F.lit(parts)).alias("part")
     dealt = hold.save(pairs.join(many, "b").select("a", "b", part), "dealt")
@@ -205,7 +206,7 @@ def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bo
     jobs = hold.save(every.join(places, "node"), "jobs")
     texts = rows.join(small(jobs, jobs.count()), F.col("id").eqNullSafe(F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("part", "node", "others", "text")
     texts = texts.dropDuplicates(["part", "node"]) if repeated else texts
-    out = hold.save(texts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long"), "verified")
+    out = hold.save(texts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long"), "verified")
     drop_saved(pairs, dealt, jobs)
     return out
 
