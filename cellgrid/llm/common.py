@@ -67,6 +67,10 @@ class Scratch:
         """
         drop_saved(*[t for t in self.tables if not any(t is k for k in keep)])
         self.tables = [t for t in self.tables if any(t is k for k in keep)]
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Have Spark remove the files of shuffles that no plan reads any more."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

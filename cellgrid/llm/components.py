@@ -47,13 +47,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = found
 
 
-def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFrame], hold: Scratch, left_over: int | None = None) -> DataFrame:
+def linked(
+    rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFrame], hold: Scratch, left_over: int | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """(node, root) of the components of all verified pairs of nodes that share a key.
 
     rows: (key, node, further columns) of the keys that several nodes have,
-    saved.  near: what a pair has to meet, of the columns and those of the
-    other node, which end in _b.  verify: gives the true ones of pairs (a, b),
-    saved.
+    saved; deleted once it is not needed.  near: what a pair has to meet, of the
+    columns and those of the other node, which end in _b.  verify: gives the
+    true ones of pairs (a, b), saved.  edges: true pairs (a, b) that are known
+    before, saved.
 
     All nodes of a key are compared with one leader: first each node with the
     one that comes first of its keys' leaders, then, in keys whose nodes are
@@ -64,26 +67,42 @@ def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFram
     """
     left_over = LEFT_OVER if left_over is None else left_over
     columns = [c for c in rows.columns if c != "key"]
-    rows, edges, left, turn = rows.withColumn("label", F.col("node")), None, None, 0
+    parts, left, turn = None, None, 0
 
     def meet(others: DataFrame, condition: Column, one: Column | None = None) -> DataFrame:
         pairs = rows.join(others, (F.col("key") == F.col("key_b")) & condition & near)
         pairs = pairs.groupBy("node").agg(F.min_by("node_b", one).alias("node_b")) if one is not None else pairs
         return verify(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
 
+    def grouped() -> tuple[DataFrame, DataFrame]:
+        """The components of the edges, and the rows of keys whose nodes are in several, with their labels."""
+        found = components(edges)
+        hold.tables.append(found)
+        labelled = rows.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = hold.save(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
+        still = hold.save(labelled.join(mixed, "key"), "mixed")
+        drop_saved(labelled, rows, *([parts] if parts is not None else []))
+        hold.sweep()
+        return found, still
+
+    if edges is not None:
+        parts, rows = grouped()
+    else:
+        path = getattr(rows, "_saved_path", None)
+        rows = rows.withColumn("label", F.col("node"))
+        rows._saved_path = path
     while True:
         seed = F.lit(max(0, turn - 1))
         order = F.xxhash64("node", seed)
         leaders = rows.groupBy(F.col("key").alias("key_b")).agg(*[F.min_by(c, order).alias(f"{c}_b") for c in (*columns, "label")])
         more = meet(leaders, F.col("label") != F.col("label_b"), None if turn else F.xxhash64("node_b", seed))
-        edges = hold.save(edges.union(more), "edges") if edges is not None else more
-        parts = components(edges)
-        hold.tables.append(parts)
-        labelled = rows.drop("label").join(parts, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        labelled = hold.save(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("key")
-        rows = hold.save(labelled.join(mixed, "key"), "mixed")
-        drop_saved(labelled)
+        if edges is not None:
+            both = hold.save(edges.union(more), "edges")
+            drop_saved(edges, more)
+            more = both
+        edges = more
+        parts, rows = grouped()
         groups = rows.groupBy("key", "label").count()
         totals = groups.groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"), F.sum("count").alias("n"))
         pairs, n = totals.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -94,6 +113,9 @@ def linked(rows: DataFrame, near: Column, verify: Callable[[DataFrame], DataFram
         others = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
         more = meet(others, (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")))
         if not more.isEmpty():
+            drop_saved(parts)
             parts = components(edges.union(more))
             hold.tables.append(parts)
+    drop_saved(rows)
+    hold.sweep()
     return parts

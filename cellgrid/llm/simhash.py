@@ -161,6 +161,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
 #: Jaccard similarity of the shingles from which near_copies() links.
 JACCARD = 0.8
 NEAR_BITS, FEW = 24, 16
+#: Hash values by which shingles are counted, 64 times at most 65,536.
+SKETCH = 1 << 20
 #: Pairs that are verified together, about.
 PAIRS_A_PART = 20_000
 
@@ -208,21 +210,57 @@ def _verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, repeated: bo
     texts = texts.dropDuplicates(["part", "node"]) if repeated else texts
     out = hold.save(texts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long"), "verified")
     drop_saved(pairs, dealt, jobs)
+    hold.sweep()
     return out
 
 
+def _levels(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How common the shingles of each of SKETCH hash values are, against the mean: half powers of two.
+
+    All shingles of all rows (id, h, text binary) count.  Shingles share values,
+    so this only orders them: any order gives the same pairs.
+    """
+    block = SKETCH // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, (np.unique(shingle_hashes(t.as_py() or b"", shingle)) % np.uint64(SKETCH)).astype(np.int64), 1)
+        for k in range(64):
+            part = total[k * block : (k + 1) * block]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([part[at].astype("<i8").tobytes()], pa.binary())], names=["k", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                totals.setdefault(k, np.zeros(block, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], names=["k", "n"])
+
+    total = np.zeros(SKETCH, np.int64)
+    found = rows.select("text").mapInArrow(count, "k long, at binary, n binary").repartition(16, "k").mapInArrow(add, "k long, n binary")
+    for k, n in found.toLocalIterator():  # 64 rows
+        total[k * block : (k + 1) * block] = np.frombuffer(n, np.int64)
+    return (2 * np.log2(np.maximum(1, total / (1 + total.mean())))).astype(np.uint8)
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", left_over: int | None = None) -> DataFrame:
     """docs less all but the first, by id, of each group of near copies.
 
     Texts are linked if their sets of five-word shingles have a Jaccard
-    similarity of JACCARD.  Such pairs are found: they share one of the
-    first n - ceil(JACCARD n) + 1 of their n shingles in the order of the
-    hashes (prefix filter).  Of those that share one, pairs whose SimHashes of
-    the shingles differ in more than NEAR_BITS are left out unless one is of
-    fewer than FEW shingles: at that similarity 10 bits differ, and more than
-    24 for one pair in a million.  The others are verified by the sets.  Texts
-    of equal sets are one node; nodes of a key are compared with leaders
-    first, see linked().
+    similarity of JACCARD.  Texts of equal sets are one node.  Linked texts
+    share one of the first n - ceil(JACCARD n) + 1 of their n shingles in one
+    order of all (prefix filter), rare ones first, see _levels().  The first
+    that they share has no shared one before it, so what is left from there on
+    in both has to be enough.  Of the pairs that share one, those whose
+    SimHashes differ in more than NEAR_BITS are left out unless one is of
+    fewer than FEW shingles: at that similarity 10 bits differ, and more than 24
+    for one pair in a million.  The others are verified by the sets.  Nodes of a key are compared
+    with leaders first, see linked().
 
     Defined cases: null, empty and wordless texts have one and the same empty
     set, so the first of them stays; a null id comes first; rows of equal id
@@ -230,39 +268,45 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     whole; an empty table gives no rows; other columns are kept whatever their
     names.
     """
+    hold = Scratch(docs.sparkSession)
+    # A row is known by its id and the hash of its text.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    levels = _levels(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(2)]
             sizes = np.array([len(x) for x in sets], np.int32)
-            starts = [x[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1].view(np.int64) for x in sets]
+            orders = [np.argsort(levels[(x % np.uint64(SKETCH)).astype(np.int64)], kind="stable") for x in sets]
+            starts = [x[at[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1]].view(np.int64) for x, at in zip(sets, orders)]
             whole = [md5(x.tobytes()).digest() for x in sets]
             prints = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes), pa.array(prints), pa.array(starts, pa.list_(pa.int64()))], names=["id", "h", "whole", "n", "fp", "prefix"])
 
-    hold = Scratch(docs.sparkSession)
-    # A row is known by its id and the hash of its text.
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     sets = hold.save(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, h long, whole binary, n int, fp long, prefix array<long>"), "prefixes")
     least = sets.groupBy("whole").agg(F.min(F.struct("id", "h")).alias("best"), F.count("*").alias("rows"))
     nodes = hold.save(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = sets.join(nodes.select("whole", "best", "node"), "whole").where(F.struct("id", "h").eqNullSafe(F.col("best")))
     own = hold.save(own.select("node", "n", "fp", "prefix"), "own")
-    keyed = own.select("node", "n", "fp", F.posexplode("prefix").alias("at", "key"))
+    # Prefixes are in `own` from here on.
+    narrow = hold.save(sets.select("id", "h", "whole"), "sets")
+    hold.drop(narrow, nodes, own)
+    sets = narrow
+    again = _repeated(sets)
+    places = nodes.select("node", F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"))
+    verify = lambda pairs: _verified(pairs, places, rows, again, shingle, hold)
+    keyed = own.select("node", F.posexplode("prefix").alias("at", "key"))
     sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
-    shared = hold.save(keyed.join(small(sizes, sizes.count(), NARROW_ROWS), "key"), "shared")
+    shared = hold.save(keyed.join(small(sizes, sizes.count(), NARROW_ROWS), "key").join(own.drop("prefix"), "node").select("key", "node", "n", "fp", "at"), "shared")
     hold.drop(sets, nodes, shared)
     need = (F.col("n") + F.col("n_b")) * (JACCARD / (1 + JACCARD)) - 1e-9
-    near = F.least(F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), "n", "n_b") >= need
+    near = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= need
     near = near & ((F.least("n", "n_b") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= NEAR_BITS))
-    place = nodes.select(F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"), "node")
-    again = _repeated(sets)
-    places = nodes.select("node", F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"))
-    parts = linked(shared, near, lambda pairs: _verified(pairs, places, rows, again, shingle, hold), hold, left_over)
+    parts = linked(shared, near, verify, hold, left_over)
     grouped = nodes.join(parts, "node", "left").select("whole", "best", "rows", F.coalesce("root", "node").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("best").alias("head"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "head")
     several = hold.save(grouped.join(heads, "root").select("whole", "head"), "several")
-    gone = sets.select("id", "h", "whole").join(several, "whole").where(~F.struct("id", "h").eqNullSafe(F.col("head")))
+    gone = sets.join(several, "whole").where(~F.struct("id", "h").eqNullSafe(F.col("head")))
     gone = hold.save(gone.select("id", "h").distinct(), "gone")
     hold.drop(gone)
     key, h = unused(docs, "key", "h")
