@@ -127,10 +127,11 @@ def keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("v", "fp").mapInArrow(run, "key long, v int, fp long")
 
 
-def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 2, hold: Scratch | None = None) -> DataFrame:
     """Edges (v, a, b) between distinct fingerprints (v, fp) of one kind v that give the components of all pairs within two bits."""
     if bits > 2:
         raise ValueError("the keys find differences of up to two bits")
+    save = (hold or Scratch(nodes.sparkSession)).save
     keyed = save(keys(nodes), "keys")
     size = save(keyed.groupBy("key").count().where("count > 1"), "sizes")
     lists = keyed.join(size.where(F.col("count") <= PAIRS_UP_TO), "key").groupBy("key", "v").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
@@ -252,14 +253,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     """docs less all but the first, by id, of each group of near copies.
 
     Texts are linked if their sets of five-word shingles have a Jaccard
-    similarity of JACCARD.  Texts of equal sets are one node.  Linked texts
+    similarity of JACCARD.  Texts of equal sets are one node.  Nodes whose
+    SimHashes of the shingles differ in at most two bits come first, found by
+    Golay indices as in near_duplicates() and verified by the sets.  At that
+    similarity about 10 bits differ, so the search then goes on: linked texts
     share one of the first n - ceil(JACCARD n) + 1 of their n shingles in one
     order of all (prefix filter), rare ones first, see _levels().  The first
     that they share has no shared one before it, so what is left from there on
     in both has to be enough.  Of the pairs that share one, those whose
     SimHashes differ in more than NEAR_BITS are left out unless one is of
-    fewer than FEW shingles: at that similarity 10 bits differ, and more than 24
-    for one pair in a million.  The others are verified by the sets.  Nodes of a key are compared
+    fewer than FEW shingles: more than 24 bits differ for one linked pair in a
+    million.  The others are verified by the sets.  Nodes of a key are compared
     with leaders first, see linked().
 
     Defined cases: null, empty and wordless texts have one and the same empty
@@ -295,14 +299,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     again = _repeated(sets)
     places = nodes.select("node", F.col("best.id").alias("node_id"), F.col("best.h").alias("node_h"))
     verify = lambda pairs: _verified(pairs, places, rows, again, shingle, hold)
+    prints = hold.save(own.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    alike = links(prints.select("fp", F.lit(0).alias("v")), hold=hold).select("a", "b").join(first("a"), "a").join(first("b"), "b")
+    same = own.join(prints, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = verify(same.union(alike.select(F.least("first_a", "first_b"), F.greatest("first_a", "first_b"))))
+    hold.drop(sets, nodes, own, close)
     keyed = own.select("node", F.posexplode("prefix").alias("at", "key"))
     sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
     shared = hold.save(keyed.join(small(sizes, sizes.count(), NARROW_ROWS), "key").join(own.drop("prefix"), "node").select("key", "node", "n", "fp", "at"), "shared")
-    hold.drop(sets, nodes, shared)
+    hold.drop(sets, nodes, close, shared)
     need = (F.col("n") + F.col("n_b")) * (JACCARD / (1 + JACCARD)) - 1e-9
     near = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= need
     near = near & ((F.least("n", "n_b") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= NEAR_BITS))
-    parts = linked(shared, near, verify, hold, left_over)
+    parts = linked(shared, near, verify, hold, left_over, close)
     grouped = nodes.join(parts, "node", "left").select("whole", "best", "rows", F.coalesce("root", "node").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("best").alias("head"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "head")
     several = hold.save(grouped.join(heads, "root").select("whole", "head"), "several")

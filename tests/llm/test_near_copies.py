@@ -25,3 +25,18 @@ def test_a_shared_passage_makes_few_pairs(spark, docs, verified):
     kept = simhash.near_copies(docs([*texts, texts[7] + " end"])).select("doc_id").collect()
     assert {r["doc_id"] for r in kept} == set(range(60))
     assert sum(verified) <= 2 * len(texts)  # of 1,830
+
+
+def test_fingerprints_within_two_bits_come_first(spark, docs, verified):
+    rng = np.random.default_rng(6)
+    print_of = lambda t: simhash.majority(np.unique(simhash.shingle_hashes(t.encode(), 5)))
+    base = [f"t{x}" for x in rng.integers(0, 10**6, 2000)]
+    texts = [" ".join(base)]
+    for at in range(0, 2000, 7):
+        other = " ".join([*base[:at], "changed", *base[at + 1 :]])
+        if (print_of(other) ^ print_of(texts[0])).bit_count() <= 2 and len(texts) < 6:
+            texts.append(other)
+    far = [" ".join(f"t{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(5)]
+    kept = simhash.near_copies(docs([*texts, *far])).select("doc_id").collect()
+    assert len(texts) == 6 and {r["doc_id"] for r in kept} == {0, *range(6, 11)}
+    assert 5 <= verified[0] <= 15 and sum(verified[1:]) == 0  # the prefixes find nothing more
