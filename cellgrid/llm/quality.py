@@ -2,9 +2,9 @@
 
 Each rule rejects texts whose measure lies above a cutoff.  The labelled
 documents of each stratum (a value of `lang`) are dealt into two halves by a
-hash of their id.  The first half, of which at most about MAX_FITTED documents
-are used, gives a path of joint cutoffs: step by step the rule and cutoff that
-reject most further bad documents for the good ones they cost.  On the other
+hash of their id.  The first half gives a path of joint cutoffs: step by step
+the rule and cutoff that reject most further bad documents for the good ones
+they cost, by counts over all of that half.  On the other
 half, all of it, the steps are tested in the order of the path (fixed-sequence
 testing): a step is admitted while the exact binomial tail P(Bin(n, risk) <=
 rejected), for the good documents that any of the rules rejects by then, is at
@@ -24,7 +24,7 @@ count once (the worse one); texts of any length are measured whole.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import drop_saved, save, small
 
 RULES = ("symbols", "dup_lines", "repeats", "upper", "marks", "same_words")
 #: Measures are multiples of 1 / GRID up to TOP / GRID.
 GRID, TOP = 100, 300
-#: Steps of a path, and labelled documents that paths are made from, about.
-STEPS, MAX_FITTED = 20, 20_000
+#: Steps of a path.
+STEPS = 20
 RISK, DELTA = 0.03, 0.05
 #: What a wrongly rejected share of good documents weighs against a rightly rejected share of bad ones.
 PRICE = 5.0
@@ -94,25 +94,46 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def path(x: np.ndarray, good: np.ndarray) -> list[tuple[int, ...]]:
-    """Joint cutoffs of the rules, ever stricter, from documents' measures (n x rules) and marks; ties go to the first rule and the looser cutoff."""
-    cuts, out = [TOP] * x.shape[1], []
-    left, n = np.ones(len(x), bool), [max(1, int((~good).sum())), max(1, int(good.sum()))]
+def next_cut(found: np.ndarray, n: tuple[int, int]) -> tuple[int, int] | None:
+    """(rule, cutoff) of the best next step; found: documents left by mark (bad, good), rule and measure, n: all bad and good ones.  Ties go to the first rule and the looser cutoff."""
+    best, move = 0.0, None
+    for r in range(found.shape[1]):
+        bad, fine = found[:, r, ::-1].cumsum(axis=1)[:, ::-1]
+        gain = bad / max(1, n[0]) - PRICE * fine / max(1, n[1])  # of a cutoff just below each step
+        at = TOP - int(np.argmax(gain[::-1]))
+        if at > 0 and gain[at] > best + 1e-12:
+            best, move = gain[at], (r, at - 1)
+    return move
+
+
+def learn_paths(half: DataFrame) -> dict[str | None, list[tuple[int, ...]]]:
+    """Joint cutoffs of the rules for each stratum, ever stricter, from all rows (stratum, good, rules); the driver gets a row for each stratum, mark, rule and measure."""
+    spark = half.sparkSession
+    alike = half.groupBy("stratum", "good", *RULES).agg(F.count("*").alias("docs"))
+    # Read once a step, so in no more files than there are tasks at a time.
+    alike = save(alike.coalesce(spark.sparkContext.defaultParallelism), "fitted")
+    measured = F.posexplode(F.array(*[F.col(r).cast("int") for r in RULES])).alias("rule", "measure")
+    cuts: dict = {r[0]: [TOP] * len(RULES) for r in alike.select("stratum").distinct().toLocalIterator()}
+    paths: dict = {s: [] for s in cuts}
+    totals: dict = {}
     for _ in range(STEPS):
-        best, move = 0.0, None
-        for r in range(x.shape[1]):
-            bad, fine = (np.bincount(x[left & (good == g), r], minlength=TOP + 1)[::-1].cumsum()[::-1] for g in (False, True))
-            gain = bad / n[0] - PRICE * fine / n[1]  # of a cutoff just below each step
-            at = TOP - int(np.argmax(gain[::-1]))
-            if at > 0 and gain[at] > best + 1e-12:
-                best, move = gain[at], (r, at - 1)
-        if not move:
+        if not cuts:
             break
-        r, cut = move
-        cuts[r] = min(cuts[r], cut)
-        left &= x[:, r] <= cut
-        out.append(tuple(cuts))
-    return out
+        table = spark.createDataFrame([(s, *c) for s, c in cuts.items()], "cut_stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
+        left = alike.join(small(table, len(cuts)), F.col("stratum").eqNullSafe(F.col("cut_stratum"))).where(" AND ".join(f"{r} <= cut_{r}" for r in RULES))
+        found: dict = {s: np.zeros((2, len(RULES), TOP + 1), np.int64) for s in cuts}
+        for s, good, rule, measure, docs in left.select("stratum", "good", "docs", measured).groupBy("stratum", "good", "rule", "measure").agg(F.sum("docs")).toLocalIterator():
+            found[s][int(good), rule, measure] = docs
+        for s, counts in found.items():
+            n = totals.setdefault(s, tuple(counts[:, 0].sum(axis=1).tolist()))
+            move = next_cut(counts, n)
+            if move:
+                cuts[s][move[0]] = min(cuts[s][move[0]], move[1])
+                paths[s].append(tuple(cuts[s]))
+            else:
+                del cuts[s]
+    drop_saved(alike)
+    return paths
 
 
 def first_steps(steps: list[tuple[int, ...]], rule: int) -> list[int]:
@@ -137,12 +158,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marked = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min("quality") > 0).alias("good"))
     known = save(found.where(~base_failed).join(marked, "id").select("id", "stratum", "good", *RULES), "labelled")
-    half, n = F.pmod(F.xxhash64("id"), F.lit(2)), known.count()
-    drawn = known.where((half == 0) & (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(max(n, 1))) < 2 * MAX_FITTED))
-    fitted: dict = defaultdict(list)
-    for r in drawn.select("stratum", "good", *RULES).toLocalIterator():  # about MAX_FITTED rows at most
-        fitted[r[0]].append(r[1:])
-    paths = {s: path(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)) for s, rows in fitted.items()}
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    paths = learn_paths(known.where(half == 0))
 
     def stepped(rows: DataFrame) -> DataFrame:
         """rows with first_<rule> and first: the steps of their stratum's path that reject them first."""
