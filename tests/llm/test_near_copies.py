@@ -27,7 +27,9 @@ def test_a_shared_passage_makes_few_pairs(spark, docs, verified):
     assert sum(verified) <= 2 * len(texts)  # of 1,830
 
 
-def test_fingerprints_within_two_bits_come_first(spark, docs, verified):
+def test_fingerprints_within_two_bits_come_first(spark, docs, verified, monkeypatch):
+    before, real = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *rest, **more: (before.append(len(verified)), real(*rest, **more))[1])
     rng = np.random.default_rng(6)
     print_of = lambda t: simhash.majority(np.unique(simhash.shingle_hashes(t.encode(), 5)))
     base = [f"t{x}" for x in rng.integers(0, 10**6, 2000)]
@@ -39,4 +41,5 @@ def test_fingerprints_within_two_bits_come_first(spark, docs, verified):
     far = [" ".join(f"t{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(5)]
     kept = simhash.near_copies(docs([*texts, *far])).select("doc_id").collect()
     assert len(texts) == 6 and {r["doc_id"] for r in kept} == {0, *range(6, 11)}
+    assert before == [0]  # by Golay indices, ahead of any pair
     assert 5 <= verified[0] <= 15 and sum(verified[1:]) == 0  # the prefixes find nothing more
