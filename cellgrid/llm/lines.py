@@ -16,7 +16,7 @@ from the number of words, and small blocks count two at a time, so a block's
 use depends on its words and not on the corpus.  Nodes that share a block are
 compared by their fingerprints (BITS), their lengths, and then by the edit
 similarity of the normalised lines, 1 - levenshtein / longer length >= 0.8, in
-characters.  Of each connected group the first occurrence, by document id and
+characters; upper bounds from the lines' words settle most similar pairs.  Of each connected group the first occurrence, by document id and
 line number, is kept.
 
 Nodes that share a block are compared with leaders first; see linked().
@@ -43,7 +43,7 @@ from .components import linked
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Lines whose fingerprints differ in more bits are not compared.
-BITS = 20
+BITS = 24
 #: Bits of each of the four blocks of a fingerprint, two of which make a key.
 BLOCK_BITS = 16
 #: Blocks of words: (number, from words, to words).  The ranges overlap by more than lengths of similar lines differ.
@@ -52,17 +52,21 @@ WORD_BLOCKS = ((16, 80, None), (8, 24, 110), (4, 0, 32))
 BLOCK_WORDS, PAIRED = 3, 16
 #: Words whose sums one row holds: fields of 16 bits, block sums of 40 bits and counts of 11.
 CHUNK = 2_000
+#: Words ahead among which a word is looked for, when two lines are gone through side by side.
+WINDOW = 12
 #: Letters of scripts written without blanks; each is a word.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters among which all those letters are; quicker to look for.
 _MAYBE_UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u31ff\u3200-\u9fff\ua9e0-\uaa7f\uf900-\ufaff\uff00-\uffef\U00010000-\U0003ffff]"
+#: WORD_GAP within a line.
+LINE_GAP = WORD_GAP.replace(r"\x00-", r"\x00-\x09\x0B-")
 _FIELDS, _SUM, _COUNT_AT = 0x0001000100010001, (1 << 40) - 1, 52
 
 
-def normalised(line: Column, unspaced: Column) -> Column:
-    """unspaced: whether there can be letters of scripts without blanks."""
-    apart = F.when(unspaced, F.regexp_replace(line, UNSPACED, " $1 ")).otherwise(line)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(apart), "[1-9]", "0"), WORD_GAP, " "))
+def normalised(text: Column, unspaced: Column) -> Column:
+    """The text with its lines normalised but for blanks at their ends.  unspaced: whether there can be letters of scripts without blanks."""
+    apart = F.when(unspaced, F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(F.lower(apart), "[1-9]", "0"), LINE_GAP, " ")
 
 
 def _row_id(id_col: str, text_col: str) -> Column:
@@ -73,10 +77,10 @@ def occurrences(docs: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col
     """(id, rid, line, p, n, c, norm, k1, k2) of every line that counts, saved; rid stands for the document's row, (k1, k2) for the normalised line of n words and c characters."""
     text = F.col(text_col)
     unspaced = text.rlike("[\u0e00-\U0010ffff]") & text.rlike(_MAYBE_UNSPACED)
-    rows = docs.select(F.col(id_col).alias("id"), at_once(_row_id(id_col, text_col)).alias("rid"), at_once(unspaced).alias("unspaced"), F.split(text, "\n", -1).alias("raws"))
-    rows = rows.select("id", "rid", "unspaced", F.posexplode("raws").alias("line", "raw"))
+    rows = docs.select(F.col(id_col).alias("id"), at_once(_row_id(id_col, text_col)).alias("rid"), F.split(text, "\n", -1).alias("raw"), F.split(normalised(text, unspaced), "\n", -1).alias("words"))
+    rows = rows.select("id", "rid", F.posexplode(F.arrays_zip("raw", "words")).alias("line", "x"))
     # A line of signs alone has no words; it is itself its form.
-    rows = rows.select("id", "rid", "line", F.monotonically_increasing_id().alias("p"), normalised(F.col("raw"), F.col("unspaced")).alias("words"), "raw")
+    rows = rows.select("id", "rid", "line", F.monotonically_increasing_id().alias("p"), F.trim("x.words").alias("words"), F.col("x.raw").alias("raw"))
     form = F.when(F.col("words") != "", F.col("words")).otherwise(F.trim(F.translate("raw", "\t\r\f\x0b", "    ")))
     n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     rows = rows.select("id", "rid", "line", "p", n.alias("n"), form.alias("norm")).where((F.col("norm") != "") if short else (F.col("n") >= MIN_WORDS))
@@ -84,8 +88,8 @@ def occurrences(docs: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col
 
 
 def distinct_lines(found: DataFrame, hold: Scratch) -> DataFrame:
-    """(k1, k2, node, n, c, first, times) of each normalised line, saved: node is the p of one occurrence, first the least (id, rid, line)."""
-    nodes = found.groupBy("k1", "k2").agg(F.min("p").alias("node"), F.min("n").alias("n"), F.min("c").alias("c"), F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("times"))
+    """(k1, k2, node, n, c, times) of each normalised line, saved: node is the p of one occurrence."""
+    nodes = found.groupBy("k1", "k2").agg(F.min("p").alias("node"), F.min("n").alias("n"), F.min("c").alias("c"), F.count("*").alias("times"))
     return hold.save(nodes, "nodes")
 
 
@@ -136,9 +140,9 @@ def fingerprints(found: DataFrame, nodes: DataFrame, hold: Scratch) -> DataFrame
     """(node, fp, c, keys) of the nodes of MIN_WORDS words or more, saved; c: characters of the normalised line."""
     longest = nodes.agg(F.max("n")).first()[0] or 0
     some = found.where(F.col("n") >= MIN_WORDS)
-    one = _word_sums(_words(some.where(F.col("n") <= CHUNK), "k1", "k2", "p"), "k1", "k2", "p")
-    # The aggregate is dealt out by these columns already, so the wide rows are not moved again.
-    one = one.join(nodes.select("k1", "k2", F.col("node").alias("p"), "c"), ["k1", "k2", "p"])
+    one = some.where(F.col("n") <= CHUNK).select("p", "norm").join(nodes.where(F.col("n") >= MIN_WORDS).select(F.col("node").alias("p"), "c").hint("shuffle_hash"), "p")
+    # The lines are dealt out by p already, so the wide rows of sums are not moved.
+    one = _word_sums(_words(one, "p", "c"), "p", "c")
     counts = [F.shiftrightunsigned(f"b{k}", _COUNT_AT) for k in range(16)]
     sums = [F.col(f"b{k}").bitwiseAND(F.lit((1 << _COUNT_AT) - 1)) for k in range(16)]
     out = one.select(F.col("p").alias("node"), "n", "c", _fingerprint(F.col("n"), [F.col(f"s{k}") for k in range(16)]).alias("fp"), F.array(*counts).alias("counts"), F.array(*sums).alias("sums"))
@@ -179,21 +183,55 @@ def _at_most(x: Column, y: Column, v: Column, w: Column) -> Column:
     return F.least(F.when(F.size(v) == F.size(w), singly), F.greatest(F.length(x), F.length(y)) - shared)
 
 
-def verify(pairs: DataFrame, found: DataFrame, hold: Scratch) -> DataFrame:
-    """The pairs (a, b) of enough edit similarity, saved."""
-    pairs = hold.save(pairs.distinct(), "pairs")
+def _in_step(v: Column, w: Column) -> Column:
+    """A number that the edit distance of two lines does not exceed, from their words v and w gone through side by side.
+
+    A word of v that comes next in w costs nothing.  Else it is looked for,
+    with the word after it, among the next WINDOW words of w.  Between two such
+    places the words of one side are replaced by those of the other.
+    """
+    wide = lambda words: F.length(F.array_join(words, " ")) + F.least(F.size(words), F.lit(1))
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("own"), F.lit(0).alias("cost"))
+
+    def step(s: Column, x: Column) -> Column:
+        here, gap = F.get(w, s["at"] - 1).eqNullSafe(x["word"]), F.length(x["word"]) + 1
+        ahead = F.slice(w, s["at"], F.lit(WINDOW + 1))
+        places = F.zip_with(ahead, F.slice(ahead, 2, F.lit(WINDOW)), lambda a, b: (a == x["word"]) & b.eqNullSafe(x["next"]))
+        found = F.when(here, 1).otherwise(F.array_position(places, F.lit(True)).cast("int"))
+
+        def on(n: Column) -> Column:
+            met = F.struct((s["at"] + n).alias("at"), F.lit(0).alias("own"), (s["cost"] + F.greatest(s["own"], wide(F.slice(w, s["at"], n - 1)))).alias("cost"))
+            return F.when(n > 0, met).otherwise(F.struct(s["at"].alias("at"), (s["own"] + gap).alias("own"), s["cost"].alias("cost")))
+
+        return F.element_at(F.transform(F.array(found), on), 1)
+
+    each = F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
+    return F.aggregate(each, start, step, lambda s: s["cost"] + F.greatest(s["own"], wide(F.slice(w, s["at"], F.size(w)))))
+
+
+def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataFrame] | None = None) -> DataFrame:
+    """The pairs (a, b) of enough edit similarity, saved; those in the tables of failed are not compared again, and a table of those that fail now is added."""
+    pairs = pairs.distinct()
+    for before in failed or []:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    pairs = hold.save(pairs, "pairs")
     involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "p"), "involved")
     texts = hold.save(found.join(_narrow(involved), "p", "left_semi").select("p", "norm"), "texts")
     both = pairs.join(texts.select(F.col("p").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("p").alias("b"), F.col("norm").alias("y")), "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
     near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
-    # What the bound leaves open is computed: most distances are small, so narrow bands come first.
-    for part in (32, 8, 3, 1):
+    near = near | (_in_step(F.col("v"), F.col("w")) <= F.col("most"))
+    # What the bounds leave open is computed, in a narrower band first.
+    for part in (3, 1):
         near = near | F.expr(f"levenshtein(x, y, most div {part}) >= 0")
     # Few bytes can be much work here, so the number of parts does not follow from their size.
     parts = 4 * both.sparkSession.sparkContext.defaultParallelism
-    out = hold.save(both.repartition(parts, "a", "b").where(near).select("a", "b"), "verified")
+    told = hold.save(both.repartition(parts, "a", "b").select("a", "b", near.alias("near")), "verified")
+    if failed is not None:
+        failed.append(hold.save(told.where("not near").select("a", "b"), "failed"))
+    out = told.where("near").select("a", "b")
+    out._saved_path = told._saved_path
     drop_saved(pairs, involved, texts)
     return out
 
@@ -206,7 +244,10 @@ def similar(found: DataFrame, prints: DataFrame, hold: Scratch, left_over: int |
     drop_saved(sizes)
     longer, shorter = F.greatest("c", "c_b"), F.least("c", "c_b")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (shorter >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9))
-    return linked(rows, near, lambda pairs: verify(pairs, found, hold), hold, left_over)
+    failed: list[DataFrame] = []
+    out = linked(rows, near, lambda pairs: verify(pairs, found, hold, failed), hold, left_over)
+    drop_saved(*failed)
+    return out
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -218,12 +259,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hold.drop(found, nodes, prints)
     parts = similar(found, prints, hold)
     grouped = nodes.join(parts, "node", "left").where(F.col("root").isNotNull() | (F.col("times") > 1))
-    grouped = hold.save(grouped.select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "grouped")
+    grouped = hold.save(grouped.select("k1", "k2", F.coalesce("root", "node").alias("root")), "grouped")
     hold.drop(found, grouped, parts)
-    heads = grouped.groupBy("root").agg(F.min("first").alias("head"))
-    known = hold.save(grouped.join(heads, "root").select("k1", "k2", "head"), "known")
+    members = hold.save(found.join(_narrow(grouped), ["k1", "k2"]).select("id", "rid", "line", "root"), "members")
     place = F.struct("id", "rid", "line")
-    gone = found.drop("norm").join(_narrow(known), ["k1", "k2"]).where(~place.eqNullSafe(F.col("head")))
+    heads = hold.save(members.groupBy("root").agg(F.min(place).alias("head")), "heads")
+    gone = members.join(_narrow(heads), "root").where(~place.eqNullSafe(F.col("head")))
     out = hold.save(gone.groupBy("rid", "id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
     hold.drop(out)
     return out

@@ -152,3 +152,34 @@ def test_short_and_unspaced_lines(spark, docs):
     assert rows == {0: ("All rights reserved.\n---\n \nLes.\n" + long, 0), 1: ("***\n ", 4), 2: ("", 1)}
     kept = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(d).collect()}
     assert kept == {0: 0, 1: 1, 2: 0}
+
+
+def test_bound_of_lines_side_by_side(spark):
+    """Never under the edit distance, and close to it where words here and there are edited."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 6))))
+    rows = []
+    for n in [1, 2, 5, 20, 60, 200] * 12:
+        w = [word() for _ in range(n)]
+        other = list(w)
+        for _ in range(int(rng.integers(0, n // 6 + 2))):
+            at, kind = int(rng.integers(0, len(other) + 1)), rng.integers(0, 3)
+            other[at : at + (kind != 1)] = [] if kind == 2 and len(other) > 1 else [word()]
+        rows.append((" ".join(w), " ".join(other)))
+    d = spark.createDataFrame(rows, "x string, y string")
+    bound = lines._in_step(F.split("x", " ", -1), F.split("y", " ", -1))
+    got = d.select(F.levenshtein("x", "y").alias("d"), bound.alias("most")).collect()
+    assert all(r["most"] >= r["d"] for r in got) and sum(r["most"] for r in got) <= 1.3 * sum(r["d"] for r in got)
+
+
+def test_pairs_that_fail_are_compared_once(spark, docs):
+    hold, found, nodes, _ = steps(spark, docs(["one two three four five six", "one two three four five sir", "seven eight nine ten eleven twelve"]))
+    at = {text: node for node, text in norms(found, nodes).items()}
+    a, b, c = at["one two three four five six"], at["one two three four five sir"], at["seven eight nine ten eleven twelve"]
+    pairs = spark.createDataFrame([(a, b), (a, c), (a, c)], "a long, b long")
+    failed = []
+    assert [tuple(r) for r in lines.verify(pairs, found, hold, failed).collect()] == [(a, b)]
+    assert lines.verify(pairs.where(f"b = {c}"), found, hold, failed).isEmpty()
+    assert [[tuple(r) for r in f.collect()] for f in failed] == [[(a, c)], []]
