@@ -14,10 +14,11 @@ of those words alone, so one of the blocks of words stays equal while many
 more bits of the fingerprint may differ; how many blocks there are follows
 from the number of words, and small blocks count two at a time, so a block's
 use depends on its words and not on the corpus.  Nodes that share a block are
-compared by their fingerprints (BITS), their lengths, and then by the edit
-similarity of the normalised lines, 1 - levenshtein / longer length >= 0.8, in
-characters; upper bounds from the lines' words settle most similar pairs.  Of each connected group the first occurrence, by document id and
-line number, is kept.
+compared by their fingerprints (BITS), their lengths, how often they have each
+letter, which the edit distance bounds, and then by the edit similarity of the
+normalised lines, 1 - levenshtein / longer length >= 0.8, in characters; upper
+bounds from the lines' words settle most similar pairs.  Of each connected group
+the first occurrence, by document id and line number, is kept.
 
 Nodes that share a block are compared with leaders first; see linked().
 
@@ -31,6 +32,7 @@ their values whatever their names, but for n_lines and n_removed.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,8 @@ BLOCK_WORDS, PAIRED = 3, 16
 CHUNK = 2_000
 #: Words ahead among which a word is looked for, when two lines are gone through side by side.
 WINDOW = 12
+#: Letters counted by themselves; all other characters are one kind more.
+LETTERS = "etaoinsrhldugwy"
 #: Letters of scripts written without blanks; each is a word.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters among which all those letters are; quicker to look for.
@@ -165,6 +169,25 @@ def _narrow(df: DataFrame) -> DataFrame:
     return small(df, df.count(), NARROW_ROWS)
 
 
+def _letters(norm: Column, c: Column) -> list[Column]:
+    """h0 to h3: how often a line of c characters has each of LETTERS and all others, in fields of 16 bits; more count as 65,535."""
+    own = [F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(x), F.lit(""))) for x in LETTERS]
+    counts = [F.least(n, F.lit(0xFFFF)).cast("long") for n in (*own, c - sum(own[1:], own[0]))]
+    return [sum((F.shiftleft(n, 16 * i) for i, n in enumerate(counts[at + 1 : at + 4], 1)), counts[at]).alias(f"h{at // 4}") for at in range(0, 16, 4)]
+
+
+def _letters_differ(most: Column) -> Column:
+    """Whether the letters of two lines show that more than `most` edits lie between them.
+
+    An edit takes away one character at most and brings one at most, so the
+    distance is at least the greater of what is missing on either side, which
+    is half of all differences and that of the lengths.
+    """
+    field = lambda h, i: F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    apart = [F.abs(field(f"h{k}", i) - field(f"h{k}_b", i)) for k in range(4) for i in range(4)]
+    return sum(apart, F.abs(F.col("c") - F.col("c_b"))) > 2 * most
+
+
 def _at_most(x: Column, y: Column, v: Column, w: Column) -> Column:
     """A number that the edit distance of x and y does not exceed, from their words v and w.
 
@@ -212,16 +235,18 @@ def _in_step(v: Column, w: Column) -> Column:
 def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataFrame] | None = None) -> DataFrame:
     """The pairs (a, b) of enough edit similarity, saved; those in the tables of failed are not compared again, and a table of those that fail now is added."""
     pairs = pairs.distinct()
-    for before in failed or []:
-        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    if failed:
+        pairs = pairs.join(reduce(DataFrame.union, failed), ["a", "b"], "left_anti")
     pairs = hold.save(pairs, "pairs")
     involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "p"), "involved")
     texts = hold.save(found.join(_narrow(involved), "p", "left_semi").select("p", "norm"), "texts")
     both = pairs.join(texts.select(F.col("p").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("p").alias("b"), F.col("norm").alias("y")), "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
+    # The bounds are for lines with most words in common; for others they would be lost work.
+    alike = 2 * F.size(F.array_intersect("v", "w")) >= F.least(F.size(F.array_distinct("v")), F.size(F.array_distinct("w")))
     near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
-    near = near | (_in_step(F.col("v"), F.col("w")) <= F.col("most"))
+    near = alike & (near | (_in_step(F.col("v"), F.col("w")) <= F.col("most")))
     # What the bounds leave open is computed, in a narrower band first.
     for part in (3, 1):
         near = near | F.expr(f"levenshtein(x, y, most div {part}) >= 0")
@@ -237,16 +262,24 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataF
 
 
 def similar(found: DataFrame, prints: DataFrame, hold: Scratch, left_over: int | None = None) -> DataFrame:
-    """(node, root) of the components of all similar nodes that share a key."""
+    """(node, root) of the components of all similar nodes that share a key; prints are deleted once they are not needed."""
     keyed = prints.select("node", "fp", "c", F.explode("keys").alias("key"))
     sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
-    rows = hold.save(keyed.join(_narrow(sizes), "key"), "shared")
-    drop_saved(sizes)
+    rows = hold.save(keyed.join(_narrow(sizes), "key"), "sharing")
+    drop_saved(sizes, prints)
+    hold.sweep()
+    # Few lines share a key, so their texts are looked up once.
+    involved = hold.save(rows.select(F.col("node").alias("p")).distinct(), "involved")
+    texts = hold.save(found.where(F.col("n") >= MIN_WORDS).join(_narrow(involved), "p", "left_semi").select("p", "c", "norm"), "texts", "zstd")
+    letters = texts.select(F.col("p").alias("node"), *_letters(F.col("norm"), F.col("c")))
+    shared = hold.save(rows.join(letters, "node"), "shared")
+    drop_saved(rows, involved)
     longer, shorter = F.greatest("c", "c_b"), F.least("c", "c_b")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (shorter >= longer - F.floor(longer * (1 - SIMILARITY) + 1e-9))
+    most = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (shorter >= longer - most) & ~_letters_differ(most)
     failed: list[DataFrame] = []
-    out = linked(rows, near, lambda pairs: verify(pairs, found, hold, failed), hold, left_over)
-    drop_saved(*failed)
+    out = linked(shared, near, lambda pairs: verify(pairs, texts, hold, failed), hold, left_over)
+    drop_saved(texts, *failed)
     return out
 
 

@@ -183,3 +183,34 @@ def test_pairs_that_fail_are_compared_once(spark, docs):
     assert [tuple(r) for r in lines.verify(pairs, found, hold, failed).collect()] == [(a, b)]
     assert lines.verify(pairs.where(f"b = {c}"), found, hold, failed).isEmpty()
     assert [[tuple(r) for r in f.collect()] for f in failed] == [[(a, c)], []]
+
+
+def test_failed_pairs_are_left_out_by_one_join(spark, docs, monkeypatch):
+    """However many tables of failed pairs there are, no row of pairs goes through more than one join with them."""
+    hold, found, nodes, _ = steps(spark, docs(["one two three four five six", "one two three four five sir", "seven eight nine ten eleven twelve"]))
+    a, b, c = sorted(norms(found, nodes))
+    pairs = spark.createDataFrame([(a, b), (a, c), (b, c)], "a long, b long")
+    failed, plans, save = [hold.save(pairs.where(f"b = {c}").limit(0), "failed") for _ in range(3)], [], hold.save
+    monkeypatch.setattr(hold, "save", lambda df, label, codec=None: (label == "pairs" and plans.append(df._jdf.queryExecution().analyzed().toString()), save(df, label, codec))[1])
+    lines.verify(pairs, found, hold, failed)
+    assert [p.count("LeftAnti") for p in plans] == [1] and len(failed) == 4
+
+
+def test_letters_never_rule_out_a_similar_pair(spark):
+    """What the letters show is never more than the edit distance, and it tells lines of other words apart."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in [1, 5, 30, 200] * 30:
+        x = "".join(rng.choice(list("etaoinzx\u00e9\u6771 0"), n))
+        y = list(x)
+        for _ in range(int(rng.integers(0, n // 3 + 2))):
+            at, kind = int(rng.integers(0, len(y) + 1)), rng.integers(0, 3)
+            y[at : at + (kind != 1)] = [] if kind == 2 else [str(rng.choice(list("etaoinzx\u00e9\u6771 0")))]
+        rows.append((x, "".join(y)))
+    rows += [("a" * 70_000, "a" * 70_001), ("seven eight nine ten", "kkkkk bbbbb mmmm jjj")]
+    d = spark.createDataFrame(rows, "x string, y string").withColumns({"c": F.length("x"), "c_b": F.length("y"), "d": F.when(F.length("x") > 1000, 1).otherwise(F.levenshtein("x", "y"))})
+    d = d.select("*", *lines._letters(F.col("x"), F.col("c")), *[h.alias(f"h{k}_b") for k, h in enumerate(lines._letters(F.col("y"), F.col("c_b")))])
+    got = d.select(lines._letters_differ(F.col("d")).alias("no"), lines._letters_differ(F.lit(9)).alias("nine"), "x").collect()
+    assert not any(r["no"] for r in got) and got[-1]["nine"]
