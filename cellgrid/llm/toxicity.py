@@ -37,10 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.sources.shared import unused
+
 from .common import save
 
 #: Labelled rows that the model is fitted on, about.
 MAX_LABELLED = 20_000
+#: Rows of a batch that a worker gives back.
+OUT_ROWS = 500
 #: Stems of these many letters; words of one stem share what the stem has shown.
 STEMS = (4, 5, 6)
 #: A word or stem needs this many toxic texts, and log-odds of so much.
@@ -265,14 +269,24 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, score, and the kept columns."""
+    """Per row: id, score, and the kept columns.
+
+    Texts go to the workers once, kept or not, and come back, if they are kept,
+    in batches of OUT_ROWS: Spark's own batches of long texts take much of an
+    executor's memory outside its heap.
+    """
     keep = keep or []
+    (own,) = unused(docs.select(id_col, *keep), "_text")
+    rows = docs.select(F.col(id_col), *keep, *([] if text_col in keep else [F.col(text_col).alias(own)]))
+    at = rows.columns.index(text_col if text_col in keep else own)
+    kept = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([model.features(t.as_py()) for t in batch.column(0)], dtype=float).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1, batch.num_columns)] + [pa.array(model.score(x) if len(batch) else np.zeros(0))], names=[*(batch.schema.names[1:]), "score"])
+        for whole in batches:
+            for start in range(0, len(whole), OUT_ROWS):
+                batch = whole.slice(start, OUT_ROWS)
+                x = np.array([model.features(t.as_py()) for t in batch.column(at)], dtype=float)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(model.score(x))], names=[*batch.schema.names[:kept], "score"])
 
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:kept])
     return rows.mapInArrow(run, schema + ", score double")

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,21 @@ def test_toxicity_stage(spark, data, small):
     assert run_stage(spark, "toxicity", docs, data) == want
 
 
+def test_toxicity_moves_texts_once_and_in_small_batches(spark, data, small, monkeypatch):
+    _, df = small
+    seen, kind = [], type(df)
+    through = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, **b: seen.append((self.schema.names, run)) or through(self, run, *a, **b))
+    STAGE["toxicity"](spark, clashing(df.withColumn("doc_id", F.col("doc_id") + 1_000_000)), data)
+    names, run = seen[-1]
+    assert sorted(names) == sorted(corpus_pipeline.COLUMNS)
+    n = 2 * toxicity.OUT_ROWS + 1
+    batch = pa.RecordBatch.from_pydict({c: [f"text {k}" for k in range(n)] if c == "text" else [*range(n)] for c in names})
+    out = list(run(iter([batch])))
+    assert [len(x) for x in out] == [toxicity.OUT_ROWS, toxicity.OUT_ROWS, 1]
+    assert pa.Table.from_batches(out).drop_columns("score").equals(pa.Table.from_batches([batch]))
+
+
 def test_line_stage(spark, data, small):
     rows, df = small
     norm = lambda x: re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", re.sub("[1-9]", "0", x.lower())).strip()
