@@ -1,16 +1,37 @@
-"""Connected components of large graphs, by alternating star contraction."""
+"""Connected components of large graphs, by alternating star contraction; of small ones, on the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, drop_saved, save
+from .common import BROADCAST_ROWS, Scratch, drop_saved, save
 
 #: Leaders are taken while more pairs than this for each row are left, and each halves them.
 LEFT_OVER = 16
+#: Graphs counted to have at most so many edges between integers are joined up on the driver.
+DRIVER_EDGES = BROADCAST_ROWS
+
+
+def _roots(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in zip(ends[: len(hi)].tolist(), ends[len(hi) :].tolist()):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return nodes, nodes[np.array([root(k) for k in range(len(nodes))], dtype=int)]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,9 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
     the least node around it.  The number of rounds grows with the logarithm
     of the graph's diameter; the edges never grow in number.  Minima are
     aggregated before the shuffle, and a node with very many edges is split by
-    Spark's skew handling where it is joined.
+    Spark's skew handling where it is joined.  The rounds are some dozens of
+    jobs, however few the edges are, so up to DRIVER_EDGES go to the driver.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    if isinstance(kind := now.schema["hi"].dataType, T.IntegralType) and now.count() <= DRIVER_EDGES:
+        ends = now.toArrow()
+        found = pa.table(dict(zip(("node", "root"), _roots(ends["hi"].to_numpy(), ends["lo"].to_numpy()))))
+        out = save(edges.sparkSession.createDataFrame(found).select(*[F.col(c).cast(kind).alias(c) for c in found.column_names]), "components")
+        drop_saved(now)
+        return out
     state = None
     while True:
         # Large stars: each node's larger neighbours get the least of its neighbourhood.

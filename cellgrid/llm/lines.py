@@ -241,18 +241,18 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataF
     involved = hold.save(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "p"), "involved")
     texts = hold.save(found.join(_narrow(involved), "p", "left_semi").select("p", "norm"), "texts")
     both = pairs.join(texts.select(F.col("p").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("p").alias("b"), F.col("norm").alias("y")), "b")
+    # Few bytes can be much work here, so the number of parts does not follow from their size.
+    both = both.select("a", "b", "x", "y").repartition(4 * both.sparkSession.sparkContext.defaultParallelism, "a", "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
     # The bounds are for lines with most words in common; for others they would be lost work.
     alike = 2 * F.size(F.array_intersect("v", "w")) >= F.least(F.size(F.array_distinct("v")), F.size(F.array_distinct("w")))
     near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
-    near = alike & (near | (_in_step(F.col("v"), F.col("w")) <= F.col("most")))
-    # What the bounds leave open is computed, in a narrower band first.
-    for part in (3, 1):
-        near = near | F.expr(f"levenshtein(x, y, most div {part}) >= 0")
-    # Few bytes can be much work here, so the number of parts does not follow from their size.
-    parts = 4 * both.sparkSession.sparkContext.defaultParallelism
-    told = hold.save(both.repartition(parts, "a", "b").select("a", "b", near.alias("near")), "verified")
+    near = near | (_in_step(F.col("v"), F.col("w")) <= F.col("most"))
+    # What the bounds leave open is computed, in a narrower band first where few edits are likely.
+    whole = F.expr("levenshtein(x, y, most) >= 0")
+    near = F.when(alike, near | F.expr("levenshtein(x, y, most div 3) >= 0") | whole).otherwise(whole)
+    told = hold.save(both.select("a", "b", near.alias("near")), "verified")
     if failed is not None:
         failed.append(hold.save(told.where("not near").select("a", "b"), "failed"))
     out = told.where("near").select("a", "b")

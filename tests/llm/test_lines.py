@@ -196,6 +196,17 @@ def test_failed_pairs_are_left_out_by_one_join(spark, docs, monkeypatch):
     assert [p.count("LeftAnti") for p in plans] == [1] and len(failed) == 4
 
 
+def test_words_of_pairs_are_not_shuffled(spark, docs, monkeypatch):
+    """Pairs are dealt out with their two lines, which are cut into words only then."""
+    hold, found, nodes, _ = steps(spark, docs(["one two three four five six", "one two three four five sir"]))
+    a, b = sorted(norms(found, nodes))
+    plans, save = [], hold.save
+    monkeypatch.setattr(hold, "save", lambda df, label, codec=None: (label == "verified" and plans.append(df._jdf.queryExecution().optimizedPlan().toString()), save(df, label, codec))[1])
+    assert lines.verify(spark.createDataFrame([(a, b)], "a long, b long"), found, hold).count() == 1
+    above, _, below = plans[0].partition("RepartitionByExpression")
+    assert below and "split(" in above and "split(" not in below
+
+
 def test_letters_never_rule_out_a_similar_pair(spark):
     """What the letters show is never more than the edit distance, and it tells lines of other words apart."""
     from pyspark.sql import functions as F

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from cellgrid.llm import components as components_module
 from cellgrid.llm import simhash
 from cellgrid.llm.common import table
 from cellgrid.llm.components import components
@@ -64,6 +66,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_components_of_few_edges_take_two_tables(spark, monkeypatch, kind):
+    """A small graph needs no rounds of jobs, and has the groups that the rounds find."""
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
+    made, save = [], components_module.save
+    monkeypatch.setattr(components_module, "save", lambda *a: made.append(a[1]) or save(*a))
+    few = components_module.components(spark.createDataFrame(edges, f"a {kind}, b {kind}"))
+    assert len(made) == 2 and [t for _, t in few.dtypes] == [{"long": "bigint"}.get(kind, kind)] * 2
+    monkeypatch.setattr(components_module, "DRIVER_EDGES", 0)
+    many = components_module.components(spark.createDataFrame(edges, f"a {kind}, b {kind}"))
+    assert len(made) > 4 and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert components_module.components(spark.createDataFrame([], f"a {kind}, b {kind}")).isEmpty()
+
+
 def test_near_copies_by_shingle_similarity(spark, docs, monkeypatch):
     rng = np.random.default_rng(9)
     texts = []
