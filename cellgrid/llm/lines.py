@@ -32,8 +32,9 @@ their values whatever their names, but for n_lines and n_removed.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from itertools import combinations
+from itertools import accumulate, combinations, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +63,16 @@ LETTERS = "etaoinsrhldugwy"
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters among which all those letters are; quicker to look for.
 _MAYBE_UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u31ff\u3200-\u9fff\ua9e0-\uaa7f\uf900-\ufaff\uff00-\uffef\U00010000-\U0003ffff]"
-#: WORD_GAP within a line.
-LINE_GAP = WORD_GAP.replace(r"\x00-", r"\x00-\x09\x0B-")
+#: WORD_GAP within a line, as sets of single characters, which Java looks up in one table; but for single blanks, which stay as they are.
+_GAPS = [rf"\x{k:02X}" for k in range(128) if re.fullmatch(WORD_GAP, chr(k)) and chr(k) not in "\n "]
+LINE_GAP = rf"[{''.join(_GAPS)}][ {''.join(_GAPS)}]*| [ {''.join(_GAPS)}]+"
 _FIELDS, _SUM, _COUNT_AT = 0x0001000100010001, (1 << 40) - 1, 52
 
 
 def normalised(text: Column, unspaced: Column) -> Column:
     """The text with its lines normalised but for blanks at their ends.  unspaced: whether there can be letters of scripts without blanks."""
     apart = F.when(unspaced, F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(F.lower(apart), "[1-9]", "0"), LINE_GAP, " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(apart), "[123456789]", "0"), LINE_GAP, " ")
 
 
 def _row_id(id_col: str, text_col: str) -> Column:
@@ -80,13 +82,16 @@ def _row_id(id_col: str, text_col: str) -> Column:
 def occurrences(docs: DataFrame, hold: Scratch, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(id, rid, line, p, n, c, norm, k1, k2) of every line that counts, saved; rid stands for the document's row, (k1, k2) for the normalised line of n words and c characters."""
     text = F.col(text_col)
-    unspaced = text.rlike("[\u0e00-\U0010ffff]") & text.rlike(_MAYBE_UNSPACED)
-    rows = docs.select(F.col(id_col).alias("id"), at_once(_row_id(id_col, text_col)).alias("rid"), F.split(text, "\n", -1).alias("raw"), F.split(normalised(text, unspaced), "\n", -1).alias("words"))
+    unspaced = (F.octet_length(text) > F.length(text)) & text.rlike("[\u0e00-\U0010ffff]") & text.rlike(_MAYBE_UNSPACED)
+    rows = docs.select(F.col(id_col).alias("id"), at_once(_row_id(id_col, text_col)).alias("rid"), text.alias("text"), F.split(normalised(text, unspaced), "\n", -1).alias("words"))
+    # Only lines without words are looked at as they were.
+    raw = F.when(F.array_contains("words", "") | F.array_contains("words", " "), F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("id", "rid", raw.alias("raw"), "words")
     rows = rows.select("id", "rid", F.posexplode(F.arrays_zip("raw", "words")).alias("line", "x"))
     # A line of signs alone has no words; it is itself its form.
     rows = rows.select("id", "rid", "line", F.monotonically_increasing_id().alias("p"), F.trim("x.words").alias("words"), F.col("x.raw").alias("raw"))
     form = F.when(F.col("words") != "", F.col("words")).otherwise(F.trim(F.translate("raw", "\t\r\f\x0b", "    ")))
-    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    n = F.when(F.col("words") == "", 0).otherwise(F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     rows = rows.select("id", "rid", "line", "p", n.alias("n"), form.alias("norm")).where((F.col("norm") != "") if short else (F.col("n") >= MIN_WORDS))
     return hold.save(rows.withColumns({"c": F.length("norm"), "k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")}), "lines", "zstd")
 
@@ -171,7 +176,9 @@ def _narrow(df: DataFrame) -> DataFrame:
 
 def _letters(norm: Column, c: Column) -> list[Column]:
     """h0 to h3: how often a line of c characters has each of LETTERS and all others, in fields of 16 bits; more count as 65,535."""
-    own = [F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(x), F.lit(""))) for x in LETTERS]
+    # Each letter is taken out of what the ones before have left, so less and less is gone through.
+    left = list(accumulate(LETTERS, lambda rest, x: F.replace(rest, F.lit(x), F.lit("")), initial=norm))
+    own = [F.octet_length(a) - F.octet_length(b) for a, b in pairwise(left)]
     counts = [F.least(n, F.lit(0xFFFF)).cast("long") for n in (*own, c - sum(own[1:], own[0]))]
     return [sum((F.shiftleft(n, 16 * i) for i, n in enumerate(counts[at + 1 : at + 4], 1)), counts[at]).alias(f"h{at // 4}") for at in range(0, 16, 4)]
 

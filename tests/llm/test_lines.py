@@ -225,3 +225,27 @@ def test_letters_never_rule_out_a_similar_pair(spark):
     d = d.select("*", *lines._letters(F.col("x"), F.col("c")), *[h.alias(f"h{k}_b") for k, h in enumerate(lines._letters(F.col("y"), F.col("c_b")))])
     got = d.select(lines._letters_differ(F.col("d")).alias("no"), lines._letters_differ(F.lit(9)).alias("nine"), "x").collect()
     assert not any(r["no"] for r in got) and got[-1]["nine"]
+
+
+def test_single_blanks_are_not_replaced():
+    """Most gaps are one blank, which stays as it is; all others become one, as by WORD_GAP within a line."""
+    import re
+
+    assert re.findall(lines.LINE_GAP, "one two, three  four five-six\nseven. eight") == [", ", "  ", "-", ". "]
+    rng = np.random.default_rng(9)
+    plain = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+    for _ in range(500):
+        text = "".join(rng.choice([*map(chr, range(128)), *" " * 60, *"\né東 " * 5], 60))
+        assert re.sub(lines.LINE_GAP, " ", text) == re.sub(plain, " ", text)
+
+
+def test_letters_are_taken_out_one_after_another(spark):
+    """Each of LETTERS is looked for in what the ones before have left, and counted right."""
+    from pyspark.sql import functions as F
+
+    text = "the first line of words été 東 zz wwyg"
+    d = spark.createDataFrame([(text,)], "x string").select(*lines._letters(F.col("x"), F.length("x")))
+    got = [d.first()[k // 4] >> 16 * (k % 4) & 0xFFFF for k in range(16)]
+    own = [text.count(x) for x in lines.LETTERS]
+    assert got == [*own, len(text) - sum(own)]
+    assert "replace(replace(" in d._jdf.queryExecution().analyzed().toString()
