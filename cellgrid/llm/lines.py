@@ -57,6 +57,10 @@ BLOCK_WORDS, PAIRED = 3, 16
 CHUNK = 2_000
 #: Words ahead among which a word is looked for, when two lines are gone through side by side.
 WINDOW = 12
+#: Nodes whose keys are counted in one task.
+KEYED_ROWS = 50_000
+#: Share of words in common from which on that is tried; under it nearly no pair is settled so.
+IN_STEP_FROM = 0.8
 #: Letters counted by themselves; all other characters are one kind more.
 LETTERS = "etaoinsrhldugwy"
 #: Letters of scripts written without blanks; each is a word.
@@ -195,19 +199,35 @@ def _letters_differ(most: Column) -> Column:
     return sum(apart, F.abs(F.col("c") - F.col("c_b"))) > 2 * most
 
 
+def _equal_ends(v: Column, w: Column) -> tuple[Column, Column]:
+    """How many words are equal at the start of both lines, and at their end among the others."""
+
+    def equal(first: Column, second: Column) -> Column:
+        at = F.array_position(F.zip_with(first, second, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.size(first))
+
+    head = equal(v, w)
+    return head, F.least(equal(F.reverse(v), F.reverse(w)), F.least(F.size(v), F.size(w)) - head)
+
+
+def _between(words: Column, head: Column, tail: Column) -> Column:
+    """The line without its first and last words, a blank ahead of each that is left.
+
+    What two lines have in common at their ends does not change their edit
+    distance; nor does a blank ahead of both.
+    """
+    left = F.size(words) - head - tail
+    return F.when(left > 0, F.concat(F.lit(" "), F.array_join(F.slice(words, head + 1, left), " "))).otherwise("")
+
+
 def _at_most(x: Column, y: Column, v: Column, w: Column) -> Column:
     """A number that the edit distance of x and y does not exceed, from their words v and w.
 
     Words that stand side by side are replaced one by one, or all between the
     equal words at the start and those at the end at once.
     """
-    def equal(first: Column, second: Column) -> Column:
-        at = F.array_position(F.zip_with(first, second, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
-        return F.when(at > 0, at - 1).otherwise(F.size(first))
-
     singly = F.aggregate(F.zip_with(v, w, lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b)))), F.lit(0), lambda s, d: s + d)
-    head = equal(v, w)
-    tail = F.least(equal(F.reverse(v), F.reverse(w)), F.least(F.size(v), F.size(w)) - head)
+    head, tail = _equal_ends(v, w)
     length = lambda words: F.length(F.concat_ws(" ", words))
     shared = length(F.slice(v, F.lit(1), head)) + length(F.slice(F.reverse(v), F.lit(1), tail))
     return F.least(F.when(F.size(v) == F.size(w), singly), F.greatest(F.length(x), F.length(y)) - shared)
@@ -252,13 +272,15 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataF
     both = both.select("a", "b", "x", "y").repartition(4 * both.sparkSession.sparkContext.defaultParallelism, "a", "b")
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILARITY) + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", most.alias("most"), F.split("x", " ", -1).alias("v"), F.split("y", " ", -1).alias("w"))
-    # The bounds are for lines with most words in common; for others they would be lost work.
-    alike = 2 * F.size(F.array_intersect("v", "w")) >= F.least(F.size(F.array_distinct("v")), F.size(F.array_distinct("w")))
+    # The bounds are for lines with most words in common, and that of words side by side for nearly all; for others they would be lost work.
+    common, least = F.size(F.array_intersect("v", "w")), F.least(F.size(F.array_distinct("v")), F.size(F.array_distinct("w")))
+    both = both.select("*", at_once(common / least).alias("share"))
     near = _at_most(F.col("x"), F.col("y"), F.col("v"), F.col("w")) <= F.col("most")
-    near = near | (_in_step(F.col("v"), F.col("w")) <= F.col("most"))
-    # What the bounds leave open is computed, in a narrower band first where few edits are likely.
-    whole = F.expr("levenshtein(x, y, most) >= 0")
-    near = F.when(alike, near | F.expr("levenshtein(x, y, most div 3) >= 0") | whole).otherwise(whole)
+    near = near | (F.col("share") >= IN_STEP_FROM) & (_in_step(F.col("v"), F.col("w")) <= F.col("most"))
+    # What the bounds leave open is computed.
+    ends = _equal_ends(F.col("v"), F.col("w"))
+    inner = F.call_function("levenshtein", *[_between(F.col(c), *ends) for c in "vw"], F.col("most")) >= 0
+    near = F.when(F.col("share") >= 0.5, near | inner).otherwise(F.expr("levenshtein(x, y, most) >= 0"))
     told = hold.save(both.select("a", "b", near.alias("near")), "verified")
     if failed is not None:
         failed.append(hold.save(told.where("not near").select("a", "b"), "failed"))
@@ -271,7 +293,9 @@ def verify(pairs: DataFrame, found: DataFrame, hold: Scratch, failed: list[DataF
 def similar(found: DataFrame, prints: DataFrame, hold: Scratch, left_over: int | None = None) -> DataFrame:
     """(node, root) of the components of all similar nodes that share a key; prints are deleted once they are not needed."""
     keyed = prints.select("node", "fp", "c", F.explode("keys").alias("key"))
-    sizes = hold.save(keyed.groupBy("key").count().where("count > 1").select("key"), "sizes")
+    # Nearly all keys are alone, so counting them ahead of the shuffle would be lost work; counts of few keys at a time are quicker.
+    parts = max(4 * prints.sparkSession.sparkContext.defaultParallelism, prints.count() // KEYED_ROWS)
+    sizes = hold.save(keyed.select("key").repartition(parts, "key").groupBy("key").count().where("count > 1").select("key"), "sizes")
     rows = hold.save(keyed.join(_narrow(sizes), "key"), "sharing")
     drop_saved(sizes, prints)
     hold.sweep()

@@ -249,3 +249,35 @@ def test_letters_are_taken_out_one_after_another(spark):
     own = [text.count(x) for x in lines.LETTERS]
     assert got == [*own, len(text) - sum(own)]
     assert "replace(replace(" in d._jdf.queryExecution().analyzed().toString()
+
+
+def test_equal_ends_do_not_change_the_distance(spark):
+    """Lines without the words that they have in common at their ends have the same edit distance, and most are much shorter."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    word = lambda: str(rng.choice(["a", "b", "ab", "ba", "abc", "\u00e9a"]))
+    rows = [("a b", "a b"), ("a b", "a c b"), ("a", "a a"), ("a b a", "a"), ("a", "b"), ("ab c", "a b c")]
+    for n in [1, 2, 3, 8, 30] * 20:
+        w = [word() for _ in range(n)]
+        at, to = sorted(map(int, rng.integers(0, n + 1, 2)))
+        other = w[:at] + [word() for _ in range(int(rng.integers(0, 4)))] + w[to:]
+        rows.append((" ".join(w), " ".join(other or ["b"])))
+    v, w = F.split("x", " ", -1), F.split("y", " ", -1)
+    ends = lines._equal_ends(v, w)
+    d = spark.createDataFrame(rows, "x string, y string").select("x", "y", lines._between(v, *ends).alias("v"), lines._between(w, *ends).alias("w"))
+    got = d.select(F.levenshtein("x", "y").alias("d"), F.levenshtein("v", "w").alias("inner"), F.length("x").alias("n"), F.length("v").alias("left")).collect()
+    assert all(r["d"] == r["inner"] for r in got) and sum(r["left"] for r in got) < 0.7 * sum(r["n"] for r in got)
+
+
+def test_distances_are_computed_once_and_between_equal_ends(spark, docs, monkeypatch):
+    """Of lines with words in common no second, narrower distance is computed, and none of whole lines; keys are not counted ahead of their shuffle."""
+    hold, found, nodes, prints = steps(spark, docs(["one two three four five six", "one two three four five sir", "six five four nine ten one"]))
+    plans, save = {}, hold.save
+    monkeypatch.setattr(hold, "save", lambda df, label, codec=None: (plans.setdefault(label, df._jdf.queryExecution()), save(df, label, codec))[1])
+    got = {r["node"]: r["root"] for r in lines.similar(found, prints, hold).collect()}
+    assert len(got) == 2 and len(set(got.values())) == 1
+    verified = plans["verified"].analyzed().toString()
+    assert " div 3" not in verified and verified.count("levenshtein(x") == 1 and verified.count("levenshtein(") == 2
+    counted = plans["sizes"].sparkPlan().toString()
+    assert counted.index("HashAggregate") < counted.index("Generate") and "REPARTITION" in counted
